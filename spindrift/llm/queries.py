@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, media, mixing
+from . import byte_bpe, chat, html_text, media, mixing, pii, quality, rules, toxicity
 from .common import table
 
 
+def op1_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_table(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,6 +27,19 @@ def op4_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_table(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
+
+
+def op6_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_table(table(spark, sf_dir, "pages"))
+
+
+def op8_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_table(table(spark, sf_dir, "documents"))
 
@@ -26,7 +48,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pivotal_mixing, op4_prefix_target_chat, op9_bitmap_queue_bpe, op10_tar_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf_pii, op2_lexicon_toxicity, op3_pivotal_mixing, op4_prefix_target_chat, op5_fourier_quality, op6_line_block_html, op8_mcd_rules, op9_bitmap_queue_bpe, op10_tar_media)}
 
 ORACLES: dict[str, str] = {
     "op4_prefix_target_chat": r"""

@@ -30,7 +30,7 @@ H, STEPS, LEAST, SALTS = 0.75, 2, 50, 16
 #: The squared distance beyond which a row is rejected: far beyond the 0.999999 quantile of chi-squared with 5 degrees.
 CUT = 90.0
 #: Components in thousandths, and for each the least standard deviation, in thousandths.
-COMPONENTS = {"word_length": 60, "symbols": 250, "duplicate_lines": 60, "repeated_words": 60, "capitals": 60}
+COMPONENTS = {"word_length": 60, "symbols": 250, "duplicate_lines": 100, "repeated_words": 100, "capitals": 60}
 SCALE = 1000
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -81,7 +81,8 @@ def vectors(measured: DataFrame) -> DataFrame:
     parts = {
         "word_length": F.log1p(F.col("word_chars") / n),
         "symbols": F.log1p(F.col("n_symbols") * 100 / n),
-        "duplicate_lines": F.sqrt(F.col("n_dup_lines") / lines),
+        # one line that comes twice, such as a title at both ends, is nothing unusual
+        "duplicate_lines": F.sqrt(F.greatest(F.col("n_dup_lines") - 1, F.lit(0)) / lines),
         "repeated_words": F.sqrt(F.col("n_repeat_words") / n),
         "capitals": F.sqrt(F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))),
     }
