@@ -135,11 +135,32 @@ def _few(goals: DataFrame, bound: int = 10_000) -> bool:
     return goals.limit(bound + 1).count() <= bound
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """row, doc_id, source, size, source_size, target and taken (words, copies counted) of every document."""
-    sizes = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(clean_text()).alias("size"))
-    sizes = checkpointed(sizes.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "source", "size")))
+def _key(size: Column) -> Column:
+    """What a document is known by: rows with equal keys have equal texts, so they may stand for each other."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("source").cast("string"), F.lit("null")), size, F.xxhash64(clean_text()))
+
+
+def _mixed(documents: DataFrame, weights: tuple[int, ...], most: int, seed: int, chunk: int) -> DataFrame:
+    size = word_count(clean_text())
+    sizes = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _key(size).alias("key"))
+    sizes = checkpointed(sizes.withColumn("row", F.monotonically_increasing_id()))
     goals = checkpointed(targets(sizes, weights, most))
     taken = copies(sizes, goals, seed, chunk)
-    out = sizes.join(taken, "row", "left").join(F.broadcast(goals.withColumnRenamed("source", "of")) if _few(goals) else goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", (F.coalesce("copies", F.lit(0)) * F.col("size")).alias("taken"))
+    named = goals.withColumnRenamed("source", "of")
+    out = sizes.join(taken, "row", "left").join(F.broadcast(named) if _few(goals) else named, F.col("source").eqNullSafe(F.col("of")))
+    return out.withColumn("copies", F.coalesce("copies", F.lit(0)))
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words, copies counted) of every document."""
+    out = _mixed(documents, weights, most, seed, chunk)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resample(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The documents, each as often as the mix takes it, with all their columns."""
+    each = _mixed(documents, weights, most, seed, chunk).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    known = documents.withColumn("__own", _key(word_count(clean_text()))).join(each, F.col("__own") == F.col("__key"))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))  # rows of one key are alike
+    known = known.withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + (place <= F.col("__copies") % F.col("__rows")).cast("long"))
+    return known.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html_text, media, mixing, pii, quality, rules, toxicity
+from . import byte_bpe, chat, html_text, media, mixing, near_dedup, pii, quality, rules, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_table(table(spark, sf_dir, "pages"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf_pii, op2_lexicon_toxicity, op3_pivotal_mixing, op4_prefix_target_chat, op5_fourier_quality, op6_line_block_html, op8_mcd_rules, op9_bitmap_queue_bpe, op10_tar_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf_pii, op2_lexicon_toxicity, op3_pivotal_mixing, op4_prefix_target_chat, op5_fourier_quality, op6_line_block_html, op7_lsh_forest, op8_mcd_rules, op9_bitmap_queue_bpe, op10_tar_media)}
 
 ORACLES: dict[str, str] = {
     "op4_prefix_target_chat": r"""
