@@ -8,10 +8,10 @@
    follows in it; a region that the border of two tasks cuts is whole in the other trees.
 3. In a region one-bit sketches of the signatures tell which neighbours may be similar enough. If they are few, all
    such pairs are candidates. A large family of near copies instead gives the pairs of its most central member, each
-   member's nearest neighbour, and neighbours in the order.
+   member's nearest neighbour, and neighbours in the order whose common prefix is longer yet.
 4. Candidates are confirmed on full sets, the nearest neighbours first, then what still joins two components.
-5. Members of families that are still apart are compared with every other member that may be similar and is not in
-   their component, so what step 3 spared loses no link.
+5. Members of large families that are still apart are compared with every other member that may be similar and is not
+   in their component, tile by tile, so what step 3 spared loses no link.
 
 Candidates are sought by probability: a pair of similarity 0.8 shares a prefix of 5 values in some of 32 trees with
 probability 0.999997. Links are exact, and the class a component is named by is its smallest doc_id.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 WORDS, SIMILARITY = 4, 80
-VALUES, TREES, BASE, DEEP, DENSE = 128, 32, 5, 9, 1024
+VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
 #: Bits of the sketches, of VALUES, in which similar classes may differ: at the similarity sought 0.1 of them do.
 BITS = 26
 
@@ -138,7 +138,7 @@ def _apart(rows: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count(x[..., 0]).astype(np.int16) + np.bitwise_count(x[..., 1])
 
 
-def _region(sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool, int]:
+def _region(sketch: np.ndarray, deeper: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool, int]:
     """Candidate pairs of a region (positions i, j and bits apart), whether they are all there are, and the centre."""
     m = len(sketch)
     near_i, near_j, near_d = [], [], []
@@ -159,7 +159,8 @@ def _region(sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     best = np.full(m, 1 << 62)
     for a, b in ((i, j), (j, i)):
         np.minimum.at(best, a, d.astype(np.int64) << 32 | b)
-    pick = (i == centre) | (j == centre) | (j == i + 1) | (best[i] == (d.astype(np.int64) << 32 | j)) | (best[j] == (d.astype(np.int64) << 32 | i))
+    longer = deeper.view(np.uint64) >> np.uint64(32)  # two values more than the region's prefix
+    pick = (i == centre) | (j == centre) | (j == i + 1) & (longer[i] == longer[j]) | (best[i] == (d.astype(np.int64) << 32 | j)) | (best[j] == (d.astype(np.int64) << 32 | i))
     return i[pick], j[pick], d[pick], False, centre
 
 
@@ -199,7 +200,7 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
         for k in np.flatnonzero(size > 2):
             last = None
             for lo, hi, cut in regions(key, deeper, int(cuts[k]), int(cuts[k + 1]), 0):
-                i, j, apart, whole, centre = _region(sketch[lo:hi], bits)
+                i, j, apart, whole, centre = _region(sketch[lo:hi], deeper[lo:hi], bits)
                 out_a.append(nid[lo + i])
                 out_b.append(nid[lo + j])
                 out_d.append(apart)
@@ -312,22 +313,47 @@ def _joined(roots: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(known.unionAll(more.join(roots, "node", "left_anti")))
 
 
-def _left_over(members: DataFrame, roots: DataFrame, bits: int) -> DataFrame:
-    """Pairs of members of a region that may be similar, of which one is outside the region's largest component."""
+def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int, similarity: int) -> DataFrame:
+    """Links (a, b, ra, rb) between members of one family that are in different components.
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        root, nid = frame["root"].to_numpy(np.int64), frame["nid"].to_numpy(np.int64)
-        names, counts = np.unique(root, return_counts=True)
-        sketch = np.ascontiguousarray(frame[["s0", "s1"]].to_numpy(np.int64))
-        out = [np.empty((0, 2), np.int64)]
-        for x in np.flatnonzero(root != names[counts.argmax()]):
-            y = np.flatnonzero((root != root[x]) & (_apart(sketch, np.full(len(nid), x), np.arange(len(nid))) <= bits))
-            out.append(np.c_[np.minimum(nid[x], nid[y]), np.maximum(nid[x], nid[y])])
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
-
-    known = members.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    split = known.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("region")
-    return known.join(split, "region", "left_semi").select("region", "nid", "root", "s0", "s1").groupBy("region").applyInPandas(pairs, "a long, b long").distinct()
+    Regions that share a member are one family. Each of its members outside its largest component meets all others:
+    both sides are dealt into tiles of TILE rows, a pair of tiles to a group, so that no task holds more, and only
+    confirmed links leave it.
+    """
+    least = members.groupBy("region").agg(F.min("nid").alias("b"))
+    family = components(members.join(least, "region").select(F.col("nid").alias("a"), "b"))
+    each = members.groupBy("nid").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")).join(family.withColumnsRenamed({"node": "nid", "root": "family"}), "nid")
+    each = checkpointed(each.join(roots.withColumnsRenamed({"node": "nid"}), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    counted = each.groupBy("family", "root").agg(F.count("*").alias("n"))
+    hub = counted.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("hub"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
+    tiles, rests = F.ceil(F.col("all") / TILE), F.ceil((F.col("all") - F.col("most")) / TILE)
+    known = each.join(hub, "family").join(sets, "nid").select("nid", "family", "root", "hub", "s0", "s1", "found", tiles.alias("tiles"), rests.alias("rests"))
+    dealt = F.xxhash64("nid")
+    kinds = "nid", "family", "root", "s0", "s1", "found"
+    against = known.select(*kinds, F.pmod(dealt, "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("rest"), F.lit(False).alias("sought"))
+    sought = known.filter("root != hub").select(*kinds, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.pmod(dealt, "rests").alias("rest"), F.lit(True).alias("sought"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame["sought"]].reset_index(drop=True), frame[~frame["sought"]].reset_index(drop=True)
+        out: list[tuple[int, int, int, int]] = []
+        if len(x) and len(y):
+            sketch_x, sketch_y = (np.ascontiguousarray(z[["s0", "s1"]].to_numpy(np.int64)) for z in (x, y))
+            found = [np.frombuffer(z, np.uint64) for z in y["found"]]
+            size, root = np.array(list(map(len, found))), y["root"].to_numpy(np.int64)
+            every, begin = np.concatenate(found), np.concatenate(([0], np.cumsum(size)[:-1]))
+            for i in range(len(x)):
+                mine = np.frombuffer(x["found"][i], np.uint64)
+                near = (root != x["root"][i]) & (np.bitwise_count((sketch_y ^ sketch_x[i]).view(np.uint64)).sum(1, dtype=np.int64) <= bits)
+                if not near.any():
+                    continue
+                at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == every).astype(np.int64), begin)
+                hits = np.flatnonzero(near & (100 * both >= similarity * (len(mine) + size - both)))
+                for j in hits[np.unique(root[hits], return_index=True)[1]]:  # one link to each component
+                    out.append((x["nid"][i], y["nid"][j], x["root"][i], root[j]))
+        return pd.DataFrame(out, columns=["a", "b", "ra", "rb"], dtype="int64")
+
+    return against.unionAll(sought).groupBy("family", "tile", "rest").applyInPandas(meet, "a long, b long, ra long, rb long")
 
 
 def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bits: int = BITS) -> DataFrame:
@@ -349,10 +375,9 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     tried = checkpointed(_across(pairs.select("a", "b"), roots))
     roots = _joined(roots, _confirmed(tried.select("a", "b"), sets, similarity), tried)
 
-    rest = _left_over(members, roots, bits).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = checkpointed(_across(rest, roots))
-    if not rest.isEmpty():
-        roots = _joined(roots, _confirmed(rest.select("a", "b"), sets, similarity), rest)
+    if not members.isEmpty():
+        rest = checkpointed(_left_over(members, roots, sets, bits, similarity))
+        roots = _joined(roots, rest.select("a", "b"), rest)
 
     named = classes.select("cls", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
