@@ -277,24 +277,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long")
 
 
+def _gathered(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df, written to the shared folder and read in as many partitions as its count asks for.
+
+    What is left after the forest is a small part of the input; spread over as many tasks as the input, its many joins
+    would leave more file heads than rows.
+    """
+    out = checkpointed(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that can be reached) of every node of the links (a, b).
 
     Each round sends every node to its smallest neighbour and goes on with the links between different ones; the
     nodes that are left at least halve along every path. Rounds end when no link is left.
     """
-    edges = checkpointed(links.filter("a != b").select("a", "b"))
+    edges = _gathered(links.filter("a != b").select("a", "b"))
     roots = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        step = _gathered(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
         if roots is None:
             roots = step.select("node", F.col("to").alias("root"))
         else:
             moved = step.select(F.col("node").alias("root"), "to")
-            roots = checkpointed(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            roots = _gathered(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = checkpointed(edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        edges = _gathered(edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -310,7 +320,7 @@ def _joined(roots: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
     between = links.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     more = components(between)
     known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return checkpointed(known.unionAll(more.join(roots, "node", "left_anti")))
+    return _gathered(known.unionAll(more.join(roots, "node", "left_anti")))
 
 
 def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int, similarity: int) -> DataFrame:
@@ -323,7 +333,7 @@ def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int,
     least = members.groupBy("region").agg(F.min("nid").alias("b"))
     family = components(members.join(least, "region").select(F.col("nid").alias("a"), "b"))
     each = members.groupBy("nid").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")).join(family.withColumnsRenamed({"node": "nid", "root": "family"}), "nid")
-    each = checkpointed(each.join(roots.withColumnsRenamed({"node": "nid"}), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    each = _gathered(each.join(roots.withColumnsRenamed({"node": "nid"}), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
     counted = each.groupBy("family", "root").agg(F.count("*").alias("n"))
     hub = counted.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("hub"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
     tiles, rests = F.ceil(F.col("all") / TILE), F.ceil((F.col("all") - F.col("most")) / TILE)
@@ -362,21 +372,21 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     classes = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = checkpointed(classes.withColumn("nid", F.monotonically_increasing_id()))
     found = checkpointed(_neighbours(_branches(classes), bits))
-    pairs = checkpointed(found.filter("region IS NULL").groupBy("a", "b").agg(F.min("apart").alias("apart")))
-    members = found.filter("region IS NOT NULL").select("region", F.col("a").alias("nid"), "s0", "s1")
+    pairs = _gathered(found.filter("region IS NULL").groupBy("a", "b").agg(F.min("apart").alias("apart")))
+    members = _gathered(found.filter("region IS NOT NULL").select("region", F.col("a").alias("nid"), "s0", "s1"))
 
     involved = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select(F.col("b").alias("nid"))).unionAll(members.select("nid")).distinct()
-    sets = checkpointed(_sets(documents, classes, involved, words))
+    sets = _gathered(_sets(documents, classes, involved, words), 5_000)
 
     ends = pairs.select("a", "b", "apart", F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select("a", "b", "apart", F.col("b").alias("x"), F.col("a").alias("y")))
     nearest = ends.groupBy("x").agg(F.min(F.struct("apart", "y", "a", "b")).alias("n")).select("n.a", "n.b").distinct()
     roots = components(_confirmed(nearest, sets, similarity))
 
-    tried = checkpointed(_across(pairs.select("a", "b"), roots))
+    tried = _gathered(_across(pairs.select("a", "b"), roots))
     roots = _joined(roots, _confirmed(tried.select("a", "b"), sets, similarity), tried)
 
     if not members.isEmpty():
-        rest = checkpointed(_left_over(members, roots, sets, bits, similarity))
+        rest = _gathered(_left_over(members, roots, sets, bits, similarity))
         roots = _joined(roots, rest.select("a", "b"), rest)
 
     named = classes.select("cls", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
