@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_udf
+from .common import small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Ranks that share one word of the lower bitmap.
@@ -160,6 +160,7 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
         codec = _codec(shared.value, pattern)
         for batch in batches:
             yield pd.Series([np.frombuffer(codec.encode(x or ""), "<i4") for x in batch])
+        codec.clear()
 
     return F.pandas_udf(encode, "array<int>")
 
@@ -180,19 +181,20 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     """A function of a text column: n_tokens, ids_sha256 and decoded_sha256 of its ids and of what they decode to."""
     shared = _shared(spark, vocabulary)
 
-    def setup():
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared.value, pattern)
+        for batch in batches:
+            rows = []
+            for text in batch:
+                ids = codec.encode(text or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.clear()  # an idle worker holds no pre-tokens
 
-        def digest(text: str) -> tuple[int, str, str]:
-            ids = codec.encode(text)
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
-
-        return digest
-
-    return text_udf("n_tokens long, ids_sha256 string, decoded_sha256 string", setup)
+    return F.pandas_udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_table(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     f = digests(documents.sparkSession, vocabulary)
-    return documents.select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+    return small_batches(documents).select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")

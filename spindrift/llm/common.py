@@ -33,6 +33,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of texts that a Python worker gets at once; Spark's own 10,000 can be gigabytes where texts are long.
+BATCH_ROWS = 2048
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands rows to Python in batches of BATCH_ROWS at most from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def clean_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -49,6 +61,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus
     ids number `bound` at most, which is what makes broadcasting them safe. Rows without an id, a text or a label are
     left out, as are all but one row of each id.
     """
+    small_batches(documents)
     rest = bucket(F.col("doc_id"), modulus)
     rule = rest != held_out
     chosen = (

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_udf
+from .common import small_batches, text_udf
 
 WINDOW, SURGE, MINOR = 3, 80, 0.1
 
@@ -184,4 +184,4 @@ def extract_table(pages: DataFrame) -> DataFrame:
         return one
 
     f = text_udf("text string, n_chars long", setup)
-    return pages.select("page_id", "url", f(F.col("html").cast("string")).alias("r")).select("page_id", "url", "r.text", "r.n_chars")
+    return small_batches(pages).select("page_id", "url", f(F.col("html").cast("string")).alias("r")).select("page_id", "url", "r.text", "r.n_chars")

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, shared_dir, small_batches
 
 #: Samples in a row of an image; payloads are padded to full rows.
 WIDTH = 64
@@ -139,7 +139,7 @@ def store(documents: DataFrame, root: str | None = None) -> DataFrame:
         writer.close()
         yield from map(_frame, held)
 
-    return checkpointed(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(write, STORED))
+    return checkpointed(small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(write, STORED))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

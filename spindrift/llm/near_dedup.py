@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 WORDS, SIMILARITY = 4, 80
 VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
@@ -100,8 +100,9 @@ def _base(documents: DataFrame, k: int) -> DataFrame:
                 cls.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sig.append(signature(found).tobytes() if len(found) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": cls, "sig": sig})
+        _words.clear()  # an idle worker holds no words
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(read, "doc_id long, n_shingles long, cls binary, sig binary")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(read, "doc_id long, n_shingles long, cls binary, sig binary")
 
 
 # ---- the forest
@@ -255,6 +256,7 @@ def _sets(documents: DataFrame, classes: DataFrame, involved: DataFrame, k: int)
             found = [shingles(text or "", k).tobytes() for text in batch["text"]]
             same = [xxhash.xxh3_128_digest(x) == bytes(c) for x, c in zip(found, batch["cls"], strict=True)]
             yield pd.DataFrame({"nid": batch["nid"], "found": found})[same].drop_duplicates("nid")
+        _words.clear()
 
     wanted = classes.join(involved, "nid", "left_semi").select("nid", "cls", F.col("rep").alias("rep"))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", "secret", "account", "contact")
 ORDER = {kind: i for i, kind in enumerate((*KINDS, *LABELS[1:]))}
@@ -94,7 +96,7 @@ _EDGE = "\"'`.,;:()[]{}<>!?#*$%&|="
 _CUES = {"token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "key": "secret", "api_key": "secret", "apikey": "secret", "bearer": "secret", "ssn": "account", "iban": "account", "account": "account", "passport": "account", "phone": "contact", "tel": "contact", "call": "contact", "fax": "contact", "mobile": "contact"}
 
 
-@functools.lru_cache(65536)
+@functools.lru_cache(8192)
 def _own(token: str) -> tuple[str, ...]:
     """What a token says of itself: its shape, runs and lengths."""
     core = token.strip(_EDGE)
@@ -412,10 +414,10 @@ def _series_udf(apply, schema: str):
 def find(documents: DataFrame, crf: Crf | None = None) -> DataFrame:
     """doc_id and FOUND of every document."""
     f = detector(crf)
-    return documents.select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")
+    return small_batches(documents).select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")
 
 
 def mask(documents: DataFrame, crf: Crf | None = None) -> DataFrame:
     """The documents with their texts redacted and, if there is such a column, n_chars counted anew."""
-    out = documents.withColumn("text", redactor(crf)(F.col("text").cast("string")))
+    out = small_batches(documents).withColumn("text", redactor(crf)(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, checkpointed, labelled_sample, text_udf
+from .common import bucket, checkpointed, labelled_sample, small_batches, text_udf
 
 #: Labelled rows that are learnt from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -159,5 +159,5 @@ def score_table(documents: DataFrame, scorer: Scorer | None) -> DataFrame:
         for batch in batches:
             yield pd.Series(np.clip(np.round(scorer.probability(matrix(batch)), 12), 0, 1) if scorer else np.full(len(batch), 0.5))
 
-    rows = documents.select("doc_id", F.pandas_udf(apply, "double")(F.col("text").cast("string")).alias("score"))
+    rows = small_batches(documents).select("doc_id", F.pandas_udf(apply, "double")(F.col("text").cast("string")).alias("score"))
     return rows.select("doc_id", F.coalesce(bucket(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

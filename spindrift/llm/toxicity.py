@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, checkpointed, labelled_sample, text_udf
+from .common import bucket, checkpointed, labelled_sample, small_batches, text_udf
 
 #: Labelled rows that are learnt from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -192,10 +192,10 @@ def scorer(lexicon: Lexicon):
 
 def score_table(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    rows = documents.select("doc_id", scorer(lexicon)(F.col("text").cast("string")).alias("r")).select("doc_id", F.col("r.score").alias("score"))
+    rows = small_batches(documents).select("doc_id", scorer(lexicon)(F.col("text").cast("string")).alias("r")).select("doc_id", F.col("r.score").alias("score"))
     return rows.select("doc_id", F.coalesce(bucket(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents whose score is below 0.5, unchanged."""
-    return documents.filter(scorer(lexicon)(F.col("text").cast("string"))["score"] < 0.5)
+    return small_batches(documents).filter(scorer(lexicon)(F.col("text").cast("string"))["score"] < 0.5)
