@@ -88,3 +88,19 @@ def text_udf(schema: str, setup: Callable[[], Callable[[str], tuple]]):
             yield pd.DataFrame([f(x or "") for x in batch], columns=names)
 
     return F.pandas_udf(apply, schema)
+
+
+#: Hash buckets in which `split_by_keys` notes keys; the rows that it broadcasts number so many at most.
+KEY_BUCKETS = 1 << 21
+
+
+def split_by_keys(df: DataFrame, column: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose column may be among the keys (one column), and those whose column surely is not.
+
+    Only hash buckets of the keys are broadcast, KEY_BUCKETS numbers at most whatever the number of keys. With many
+    keys more rows pass as possible ones; none is ever missed.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(KEY_BUCKETS))
+    marked = checkpointed(keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("__bucket")).distinct())
+    on = place(column) == F.col("__bucket")
+    return df.join(F.broadcast(marked), on, "left_semi"), df.join(F.broadcast(marked), on, "left_anti")

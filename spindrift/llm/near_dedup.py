@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, small_batches, split_by_keys
 
 WORDS, SIMILARITY = 4, 80
 VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
@@ -258,8 +258,9 @@ def _sets(documents: DataFrame, classes: DataFrame, involved: DataFrame, k: int)
             yield pd.DataFrame({"nid": batch["nid"], "found": found})[same].drop_duplicates("nid")
         _words.clear()
 
-    wanted = classes.join(involved, "nid", "left_semi").select("nid", "cls", F.col("rep").alias("rep"))
+    wanted = checkpointed(classes.join(involved, "nid", "left_semi").select("nid", "cls", "rep"))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    texts, _ = split_by_keys(texts, F.col("id"), wanted.select("rep"))  # most texts are in no pair and stay where they are
     return texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("nid", "cls", "text").mapInPandas(read, "nid long, found binary").dropDuplicates(["nid"])
 
 
@@ -402,8 +403,12 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
 def drop_near_copies(documents: DataFrame, **how) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; a row that repeats stays once.
 
-    The verdict comes back by doc_id, so different texts under one doc_id stay or go together.
+    The verdict comes back by doc_id, so different texts under one doc_id stay or go together. Documents whose id no
+    verdict against it and no second row has are passed on as they are; only the others are shuffled.
     """
-    kept = dedup(documents, **how).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = documents.join(kept, documents["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])  # rows already meet by doc_id: no further shuffle
+    found = checkpointed(dedup(documents, **how).select(F.col("doc_id").alias("__id"), "kept"))
+    each = found.groupBy("__id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept"))
+    doubtful, clear = split_by_keys(documents, F.col("doc_id").cast("long"), each.filter("n > 1 OR kept = 0").select("__id"))
+    kept = each.filter("kept = 1").select(F.col("__id").alias("__kept_id"))
+    stay = doubtful.join(kept, doubtful["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(stay)
