@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_udf
 
-WINDOW, SURGE, MINOR = 3, 80, 0.1
+WINDOW, SURGE, MINOR = 3, 40, 0.1
 
 # HTML's elements by what they do to lines, and names that mark what is no part of an article.
 _DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|select|textarea|button"

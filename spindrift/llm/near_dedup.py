@@ -293,14 +293,17 @@ def _gathered(df: DataFrame, rows: int = 50_000) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that can be reached) of every node of the links (a, b).
 
-    Each round sends every node to its smallest neighbour and goes on with the links between different ones; the
-    nodes that are left at least halve along every path. Rounds end when no link is left.
+    Each round sends every node to the first of itself and its neighbours, and goes on with the links between
+    different ones. First means smallest and, every other round, smallest by a hash of its own, so that long chains in
+    order shrink by a share each time too. Rounds end when no link is left.
     """
     edges = _gathered(links.filter("a != b").select("a", "b"))
-    roots = None
+    roots, number = None, 0
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = _gathered(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        rank = (lambda c: F.xxhash64(F.lit(number), c)) if number % 2 else (lambda c: F.col(c))  # noqa: B023, E731
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("m"))).alias("x"))
+        step = _gathered(least.select("node", F.when(F.col("x.r") < rank("node"), F.col("x.m")).otherwise(F.col("node")).alias("to")))
         if roots is None:
             roots = step.select("node", F.col("to").alias("root"))
         else:
@@ -308,7 +311,11 @@ def components(links: DataFrame) -> DataFrame:
             roots = _gathered(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         edges = _gathered(edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        number += 1
+    if roots is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    smallest = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return _gathered(roots.join(smallest, "root").select("node", F.col("least").alias("root")))
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
