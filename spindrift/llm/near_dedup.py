@@ -296,15 +296,15 @@ def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that can be reached) of every node of the links (a, b).
 
     Each round sends every node to the first of itself and its neighbours, and goes on with the links between
-    different ones. First means smallest, which settles families in a few rounds; after PLAIN_ROUNDS, every other round
-    it means smallest by a hash of its own, so that long chains in order shrink by a share each time too. Rounds end
+    different ones. First means smallest, which settles families in a few rounds; after PLAIN_ROUNDS
+    rounds, smallest by a hash of its own, so that long chains in order shrink by a share each time too. Rounds end
     when no link is left.
     """
     edges = _gathered(links.filter("a != b").select("a", "b"))
     roots, number = None, 0
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = (lambda c: F.xxhash64(F.lit(number), c)) if number > PLAIN_ROUNDS and number % 2 else (lambda c: F.col(c))  # noqa: B023, E731
+        rank = (lambda c: F.xxhash64(F.lit(number), c)) if number >= PLAIN_ROUNDS else (lambda c: F.col(c))  # noqa: B023, E731
         least = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("m"))).alias("x"))
         step = _gathered(least.select("node", F.when(F.col("x.r") < rank("node"), F.col("x.m")).otherwise(F.col("node")).alias("to")))
         if roots is None:
@@ -317,7 +317,7 @@ def components(links: DataFrame) -> DataFrame:
         number += 1
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if number <= PLAIN_ROUNDS + 1:
+    if number <= PLAIN_ROUNDS:
         return roots  # the smallest already
     smallest = roots.groupBy("root").agg(F.min("node").alias("least"))
     return _gathered(roots.join(smallest, "root").select("node", F.col("least").alias("root")))
