@@ -14,7 +14,8 @@
    in their component, tile by tile, so what step 3 spared loses no link.
 
 Candidates are sought by probability: a pair of similarity 0.8 shares a prefix of 5 values in some of 32 trees with
-probability 0.999997. Links are exact, and the class a component is named by is its smallest doc_id.
+probability 0.999997, and its sketches, the same in all trees, are near enough with probability 0.999997 again; both
+rise fast with the similarity. Links are exact, and the class a component is named by is its smallest doc_id.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is their
 own doc_id. Fewer words than a shingle has are one shingle. Repeated rows are copies; a null doc_id is named by the
@@ -25,6 +26,7 @@ are not read. Memory is one batch, one text's set or one region of DENSE rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,8 +40,8 @@ WORDS, SIMILARITY = 4, 80
 VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
 #: Rounds of `components` that go by the nodes' own order.
 PLAIN_ROUNDS = 6
-#: Bits of the sketches, of VALUES, in which similar classes may differ: at the similarity sought 0.1 of them do.
-BITS = 26
+#: Probability with which the sketches of a pair of just the similarity sought may hide it: what the forest misses too.
+MISS = 3e-6
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _random = np.random.default_rng(20240229)
@@ -135,6 +137,19 @@ def _branches(classes: DataFrame) -> DataFrame:
     return classes.select("nid", "sig").mapInPandas(grow, "key long, deeper long, s0 long, s1 long, nid long")
 
 
+def sketch_bits(similarity: int) -> int:
+    """The fewest bits, of VALUES, that sketches of a pair of this similarity (in percent) exceed with MISS at most.
+
+    Each bit differs with half the probability with which the pair's signature values do.
+    """
+    p, left = (100 - similarity) / 200, 1.0
+    for bits in range(VALUES):
+        left -= comb(VALUES, bits) * p**bits * (1 - p) ** (VALUES - bits)
+        if left <= MISS:
+            return bits
+    return VALUES
+
+
 def _apart(rows: np.ndarray, i, j) -> np.ndarray:
     """Bits in which the sketches of rows i and j differ. rows: s0 and s1."""
     x = (rows[i] ^ rows[j]).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
@@ -381,8 +396,9 @@ def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int,
     return against.unionAll(sought).groupBy("family", "tile", "rest").applyInPandas(meet, "a long, b long, ra long, rb long")
 
 
-def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bits: int = BITS) -> DataFrame:
+def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, and its class and component (null without shingles)."""
+    bits = sketch_bits(similarity)
     base = checkpointed(_base(documents, words))
     classes = base.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = checkpointed(classes.withColumn("nid", F.monotonically_increasing_id()))

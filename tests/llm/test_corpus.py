@@ -79,6 +79,16 @@ def test_dense_families(spark, monkeypatch):
     assert wrong <= 4
 
 
+def test_sketches_hide_few_pairs():
+    """Drawn bit by bit, sketches of pairs of just the similarity sought stay within the limit, which is not slack."""
+    import numpy as np
+
+    drawn = np.random.default_rng(5).binomial(near_dedup.VALUES, 0.1, 2_000_000)
+    limit = near_dedup.sketch_bits(80)
+    assert (drawn > limit).mean() <= 2e-5 < (drawn > limit - 4).mean()
+    assert near_dedup.sketch_bits(100) == 0 and [near_dedup.sketch_bits(s) for s in (95, 90, 70)] == [14, 20, 39]
+
+
 def test_near_copies_odd(spark):
     out = near_dedup.dedup(frame(spark, ODD)).collect()
     assert len(out) == len(ODD) and sum(r.n_shingles == 0 for r in out) == 3
