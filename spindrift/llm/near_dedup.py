@@ -5,16 +5,17 @@
 2. Each of TREES orders of signature values sorts all classes. Classes with a common prefix of BASE values are
    neighbours; where more than DENSE share one, the region goes by longer prefixes, up to DEEP values, and beyond that
    by stretches of DENSE neighbours in the order. Sorting is by range, so a hot prefix is spread over tasks by what
-   follows in it; a region that the border of two tasks cuts is whole in the other trees.
+   follows in it, and the border of two tasks may cut a region.
 3. In a region one-bit sketches of the signatures tell which neighbours may be similar enough. If they are few, all
    such pairs are candidates. A large family of near copies instead gives the pairs of its most central member, each
    member's nearest neighbour, and neighbours in the order whose common prefix is longer yet.
 4. Candidates are confirmed on full sets, the nearest neighbours first, then what still joins two components.
-5. Members of large families that are still apart are compared with every other member that may be similar and is not
-   in their component, tile by tile, so what step 3 spared loses no link.
+5. Members of large families, of regions that were split and of those at borders that are still apart are compared with
+   every other member of the BASE values' region that may be similar and is not in their component, tile by tile, so
+   what steps 2 and 3 spared loses no link. Time for this grows with the square of such a region, less its largest component.
 
-Candidates are sought by probability: a pair of similarity 0.8 shares a prefix of 5 values in some of 32 trees with
-probability 0.999997, and its sketches, the same in all trees, are near enough with probability 0.999997 again; both
+Candidates are sought by probability: the 32 trees begin with disjoint values, so a pair of similarity 0.8 shares a
+prefix of 5 in some of them with probability 0.999997, and its sketches, the same in all trees, are near enough with probability 0.999997 again; both
 rise fast with the similarity. Links are exact, and the class a component is named by is its smallest doc_id.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing: their component is their
@@ -25,19 +26,23 @@ are not read. Memory is one batch, one text's set or one region of DENSE rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, split_by_keys
 
 WORDS, SIMILARITY = 4, 80
+#: VALUES are the bits of a sketch; the signature has POSITIONS values, so that no two trees begin with a common one.
 VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
+POSITIONS = TREES * BASE
+#: Rows of a tile where only sketches meet.
+SKETCH_TILE = 4096
 #: Rounds of `components` that go by the nodes' own order.
 PLAIN_ROUNDS = 6
 #: Probability with which the sketches of a pair of just the similarity sought may hide it: what the forest misses too.
@@ -45,9 +50,11 @@ MISS = 3e-6
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _random = np.random.default_rng(20240229)
-_TIMES = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
-_ORDERS = np.stack([_random.permutation(VALUES)[:DEEP] for _ in range(TREES)])
+_TIMES = _random.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _random.integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
+_FIRST = _random.permutation(POSITIONS).reshape(TREES, BASE)
+#: Positions by tree: each is among the first BASE of one tree, and among the further ones of one other at most.
+_ORDERS = np.hstack([_FIRST] + [np.roll(_FIRST[:, i], i + 1)[:, None] for i in range(DEEP - BASE)])
 
 
 class _Words(dict):
@@ -86,7 +93,7 @@ def shingles(text: str, k: int = WORDS) -> np.ndarray:
 
 def signature(found: np.ndarray) -> np.ndarray:
     x = (found >> np.uint64(32)).astype(np.uint32)
-    out = np.full(VALUES, 0xFFFFFFFF, np.uint32)
+    out = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 2048):
         np.minimum(out, (x[i : i + 2048, None] * _TIMES + _PLUS).min(0), out=out)
     return out
@@ -118,8 +125,8 @@ def _branches(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 2048):
                 part = batch.iloc[start : start + 2048]
-                sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, VALUES)
-                bits = np.packbits((sig * np.uint32(0x9E3779B1) >> np.uint32(16) & np.uint32(1)).astype(bool), axis=1).view(np.int64)
+                sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, POSITIONS)
+                bits = np.packbits((sig[:, :VALUES] * np.uint32(0x9E3779B1) >> np.uint32(16) & np.uint32(1)).astype(bool), axis=1).view(np.int64)
                 values = sig[:, _ORDERS].astype(np.uint64)  # classes x trees x DEEP
                 key = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64)[None] * _MIX[2], len(sig), 0)
                 for i in range(BASE):
@@ -193,7 +200,10 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
-    """Candidates (a, b, apart) with region null, and members (a = nid, s0, s1) of regions that did not give all pairs."""
+    """Candidates (a, b, apart) with region null, and members (a = nid, s0, s1) of regions that did not give all pairs.
+
+    Such are also regions that were split, which are one region each here, and those at the borders of a task.
+    """
 
     def regions(key: np.ndarray, deeper: np.ndarray, lo: int, hi: int, depth: int):
         if hi - lo <= DENSE:
@@ -207,14 +217,17 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 yield from regions(key, deeper, int(a), int(b), depth + 1)
 
-    def look(key, deeper, sketch, nid) -> pd.DataFrame | None:
+    def look(key, deeper, sketch, nid, first: bool, last_one: bool) -> pd.DataFrame | None:
         cuts = _runs(key)
         size = np.diff(cuts)
+        parted = size > DENSE
+        parted[:1] |= first
+        parted[-1:] |= last_one
         pairs = cuts[:-1][size == 2]
         d = _apart(sketch, pairs, pairs + 1)
         pairs, d = pairs[d <= bits], d[d <= bits]
         out_a, out_b, out_d = [nid[pairs]], [nid[pairs + 1]], [d]
-        members: list[tuple[int, np.ndarray]] = []
+        members = [(xxhash.xxh3_64_intdigest(key[cuts[k]].tobytes()), np.arange(cuts[k], cuts[k + 1])) for k in np.flatnonzero(parted)]
         for k in np.flatnonzero(size > 2):
             last = None
             for lo, hi, cut in regions(key, deeper, int(cuts[k]), int(cuts[k + 1]), 0):
@@ -222,7 +235,7 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
                 out_a.append(nid[lo + i])
                 out_b.append(nid[lo + j])
                 out_d.append(apart)
-                if not whole:
+                if not whole and not parted[k]:
                     members.append((xxhash.xxh3_64_intdigest(key[lo].tobytes() + deeper[lo].tobytes() + nid[lo].tobytes()), np.arange(lo, hi)))
                 if cut and last is not None:  # stretches of one long region hang together by their centres
                     out_a.append(nid[[last]])
@@ -239,10 +252,11 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
+        first = True  # the first key may have rows that are not in the frame
 
-        def done(frame: pd.DataFrame) -> pd.DataFrame:
+        def done(frame: pd.DataFrame, last_one: bool) -> pd.DataFrame:
             sketch = np.ascontiguousarray(frame[["s0", "s1"]].to_numpy(np.int64))
-            return look(*(frame[c].to_numpy(np.int64) for c in ("key", "deeper")), sketch, frame["nid"].to_numpy(np.int64))
+            return look(*(frame[c].to_numpy(np.int64) for c in ("key", "deeper")), sketch, frame["nid"].to_numpy(np.int64), first, last_one)
 
         for batch in batches:
             kept.append(batch)
@@ -251,13 +265,14 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
             frame = pd.concat(kept, ignore_index=True)
             last = frame["key"].iloc[-1]
             cut = int(np.searchsorted(frame["key"].to_numpy(), last, "left"))
-            if cut == 0:  # all rows have one key: what follows is another stretch of it
+            alone = cut == 0
+            if alone:  # all rows have one key: what follows is another stretch of it
                 cut = len(frame)
-            yield done(frame.iloc[:cut])
-            kept = [frame.iloc[cut:]]
+            yield done(frame.iloc[:cut], alone)
+            kept, first = [frame.iloc[cut:]], alone
         frame = pd.concat(kept, ignore_index=True) if kept else None
         if frame is not None and len(frame):
-            yield done(frame)
+            yield done(frame, True)
 
     ordered = branches.repartitionByRange("key", "deeper").sortWithinPartitions("key", "deeper", "nid")
     return ordered.mapInPandas(walk, "region long, a long, b long, apart int, s0 long, s1 long")
@@ -353,25 +368,50 @@ def _joined(roots: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
     return _gathered(known.unionAll(more.join(roots, "node", "left_anti")))
 
 
-def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int, similarity: int) -> DataFrame:
+def _counted(each: DataFrame) -> DataFrame:
+    """each of the families of several components, with the largest one (hub), its rows (most) and the family's (all)."""
+    counted = each.groupBy("family", "root").agg(F.count("*").alias("n"))
+    hub = counted.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("hub"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
+    return each.join(hub.drop("parts"), "family")
+
+
+def _tiles(known: DataFrame, rows: int, *kinds: str) -> GroupedData:
+    """Pairs of tiles: members outside their family's hub (sought), and all members."""
+    known = known.withColumns({"tiles": F.ceil(F.col("all") / rows), "rests": F.ceil((F.col("all") - F.col("most")) / rows)})
+    dealt, kinds = F.xxhash64("nid"), ("nid", "family", "root", "s0", "s1", *kinds)
+    against = known.select(*kinds, F.pmod(dealt, "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("rest"), F.lit(False).alias("sought"))
+    sought = known.filter("root != hub").select(*kinds, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.pmod(dealt, "rests").alias("rest"), F.lit(True).alias("sought"))
+    return against.unionAll(sought).groupBy("family", "tile", "rest")
+
+
+def _left_over(members: DataFrame, roots: DataFrame, sets: Callable[[DataFrame], DataFrame], bits: int, similarity: int) -> DataFrame:
     """Links (a, b, ra, rb) between members of one family that are in different components.
 
     Regions that share a member are one family. Each of its members outside its largest component meets all others:
-    both sides are dealt into tiles of TILE rows, a pair of tiles to a group, so that no task holds more, and only
-    confirmed links leave it.
+    both sides are dealt into tiles, a pair of tiles to a group, so that no task holds more. First only sketches meet,
+    in tiles of SKETCH_TILE rows; members that are near one of another component meet again with their sets, in
+    tiles of TILE rows, and only confirmed links leave those.
     """
     least = members.groupBy("region").agg(F.min("nid").alias("b"))
     family = components(members.join(least, "region").select(F.col("nid").alias("a"), "b"))
     each = members.groupBy("nid").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1")).join(family.withColumnsRenamed({"node": "nid", "root": "family"}), "nid")
     each = _gathered(each.join(roots.withColumnsRenamed({"node": "nid"}), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-    counted = each.groupBy("family", "root").agg(F.count("*").alias("n"))
-    hub = counted.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("hub"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
-    tiles, rests = F.ceil(F.col("all") / TILE), F.ceil((F.col("all") - F.col("most")) / TILE)
-    known = each.join(hub, "family").join(sets, "nid").select("nid", "family", "root", "hub", "s0", "s1", "found", tiles.alias("tiles"), rests.alias("rests"))
-    dealt = F.xxhash64("nid")
-    kinds = "nid", "family", "root", "s0", "s1", "found"
-    against = known.select(*kinds, F.pmod(dealt, "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("rest"), F.lit(False).alias("sought"))
-    sought = known.filter("root != hub").select(*kinds, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.pmod(dealt, "rests").alias("rest"), F.lit(True).alias("sought"))
+
+    def near_ones(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame["sought"]], frame[~frame["sought"]]
+        sketch_x, sketch_y = (np.ascontiguousarray(z[["s0", "s1"]].to_numpy(np.int64)) for z in (x, y))
+        root_x, root_y = x["root"].to_numpy(np.int64), y["root"].to_numpy(np.int64)
+        hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for a in range(0, len(x), 256):
+            apart = np.bitwise_count((sketch_x[a : a + 256, None, 0] ^ sketch_y[None, :, 0]).view(np.uint64))
+            apart += np.bitwise_count((sketch_x[a : a + 256, None, 1] ^ sketch_y[None, :, 1]).view(np.uint64))
+            hit = (apart <= bits) & (root_x[a : a + 256, None] != root_y[None])
+            hit_x[a : a + 256] = hit.any(1)
+            hit_y |= hit.any(0)
+        return pd.DataFrame({"nid": np.unique(np.concatenate((x["nid"].to_numpy(np.int64)[hit_x], y["nid"].to_numpy(np.int64)[hit_y])))})
+
+    near = _gathered(_tiles(_counted(each), SKETCH_TILE).applyInPandas(near_ones, "nid long").distinct())
+    known = _counted(_gathered(each.join(near, "nid"))).join(sets(near), "nid")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame["sought"]].reset_index(drop=True), frame[~frame["sought"]].reset_index(drop=True)
@@ -393,7 +433,7 @@ def _left_over(members: DataFrame, roots: DataFrame, sets: DataFrame, bits: int,
                     out.append((x["nid"][i], y["nid"][j], x["root"][i], root[j]))
         return pd.DataFrame(out, columns=["a", "b", "ra", "rb"], dtype="int64")
 
-    return against.unionAll(sought).groupBy("family", "tile", "rest").applyInPandas(meet, "a long, b long, ra long, rb long")
+    return _tiles(known, TILE, "found").applyInPandas(meet, "a long, b long, ra long, rb long")
 
 
 def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -406,7 +446,7 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     pairs = _gathered(found.filter("region IS NULL").groupBy("a", "b").agg(F.min("apart").alias("apart")))
     members = _gathered(found.filter("region IS NOT NULL").select("region", F.col("a").alias("nid"), "s0", "s1"))
 
-    involved = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select(F.col("b").alias("nid"))).unionAll(members.select("nid")).distinct()
+    involved = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select(F.col("b").alias("nid"))).distinct()
     sets = _gathered(_sets(documents, classes, involved, words), 5_000)
 
     ends = pairs.select("a", "b", "apart", F.col("a").alias("x"), F.col("b").alias("y")).unionAll(pairs.select("a", "b", "apart", F.col("b").alias("x"), F.col("a").alias("y")))
@@ -417,7 +457,7 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     roots = _joined(roots, _confirmed(tried.select("a", "b"), sets, similarity), tried)
 
     if not members.isEmpty():
-        rest = _gathered(_left_over(members, roots, sets, bits, similarity))
+        rest = _gathered(_left_over(members, roots, lambda nids: _gathered(_sets(documents, classes, nids, words), 5_000), bits, similarity))
         roots = _joined(roots, rest.select("a", "b"), rest)
 
     named = classes.select("cls", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))

@@ -89,6 +89,34 @@ def test_sketches_hide_few_pairs():
     assert near_dedup.sketch_bits(100) == 0 and [near_dedup.sketch_bits(s) for s in (95, 90, 70)] == [14, 20, 39]
 
 
+def test_trees_fail_apart():
+    """Drawn value by value, pairs of just the similarity sought share the first values of some tree."""
+    import numpy as np
+
+    draw, missed = np.random.default_rng(9), 0
+    for _ in range(10):
+        equal = draw.random((30_000, near_dedup._ORDERS.max() + 1)) < 0.8
+        missed += int((~equal[:, near_dedup._ORDERS[:, : near_dedup.BASE]].all(2).any(1)).sum())
+    assert missed <= 8  # 0.9 of 300,000 are expected
+
+
+def test_split_regions_lose_no_link(spark, monkeypatch):
+    """Most words are one passage in all texts, so that regions of one value are split to the end; each text has one partner."""
+    for name, value in (("DENSE", 8), ("SKETCH_TILE", 64), ("TILE", 64), ("TREES", 4), ("BASE", 1), ("DEEP", 5), ("_ORDERS", near_dedup._ORDERS[:4])):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    passage, texts = [rng.choice(words) for _ in range(120)], []
+    for _ in range(80):
+        own = [rng.choice(words) for _ in range(80)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-rng.randint(30, 33)] + [rng.choice(words) for _ in range(8)])]
+    rows = list(enumerate(texts))
+    out = near_dedup.dedup(frame(spark, rows)).collect()
+    want = classes(rows)
+    assert sum(i != c for i, c in want.items()) > 30
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 def test_near_copies_odd(spark):
     out = near_dedup.dedup(frame(spark, ODD)).collect()
     assert len(out) == len(ODD) and sum(r.n_shingles == 0 for r in out) == 3
