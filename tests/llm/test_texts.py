@@ -173,6 +173,17 @@ def test_html(body):
     assert html_text.extract(PAGE % (body % inside)) == want
 
 
+def test_html_keeps_every_stretch():
+    """Without an article's tag: a short closing section after an advert, and a line that is mostly a link between others."""
+    body = ["A long paragraph of the article, with many words in it. " * 8 for _ in range(40)]
+    linked = '<p>See <a href="/x">the whole of the report on this matter</a>.</p>'
+    advert = '<div class="ad">' + "<p>Buy now</p>" * 4 + "</div>"
+    closing = "The closing section is short beside the article, yet it is a part of it."
+    page = PAGE % ("<div>" + "".join(f"<p>{x}</p>" for x in body[:20]) + linked + "".join(f"<p>{x}</p>" for x in body[20:]) + advert + f"<p>{closing}</p></div>")
+    want = [*(x.strip() for x in body[:20]), "See the whole of the report on this matter.", *(x.strip() for x in body[20:]), closing]
+    assert html_text.extract(page).split("\n") == want
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>a<p>b &am", "x"), (4, "u", "<" * 3000, "x"), (5, "u", "<article>" + "<p>x " * 5000, "x")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract_table(pages).collect()}
