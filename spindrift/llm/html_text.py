@@ -3,12 +3,11 @@
 Markup is stripped: scripts, styles and the like go with what they hold, tags of blocks end a line, other tags and
 line breaks inside a block are white space. What is left are lines, one a block. A line inside an element that is no
 part of an article (menus, headers and footers of the page, sidebars, notices, adverts, forms, comments of readers)
-weighs nothing; any other weighs as many characters as it has outside links. Sums of these weights over windows of
-WINDOW lines are the distribution. It surges where a window begins to reach the threshold and dives where no window
-reaches it any more; the lines between the two that are not outside are the text, from every stretch.
-
-Where a page names its article (<article>, <main> or such a role), lines outside weigh nothing, others all their
-characters, and the threshold is one character. Elsewhere it is SURGE characters, less where the page has less.
+weighs nothing; a line inside what the page names its article (<article>, <main> or such a role) weighs ARTICLE times
+its characters, so that a short paragraph there surges alone; any other as many as it has outside links. Sums of these
+weights over windows of WINDOW lines are the distribution. It surges where a window begins to reach the threshold and
+dives where no window reaches it any more; the lines between the two that are not outside are the text, on every page
+and from every stretch. The threshold is SURGE, less where the page has less.
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as far as it goes: what is
 still open at the end is closed there. Repeated rows give equal texts; an empty table gives an empty one; columns
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_udf
 
-WINDOW, SURGE = 3, 40
+WINDOW, SURGE, ARTICLE = 3, 40, 40
 
 # HTML's elements by what they do to lines, and names that mark what is no part of an article.
 _DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|select|textarea|button"
@@ -139,9 +138,8 @@ def lines(page: str) -> list[Line]:
 
 def weights(page: list[Line]) -> tuple[list[int], int]:
     """What each line weighs, and the threshold of the page."""
-    named = any(x.article and not x.outside for x in page)
-    out = [0 if x.outside or named and not x.article else len(x.text) if named else len(x.text) - x.linked for x in page]
-    return out, 1 if named else max(1, min(SURGE, max((sum(out[i : i + WINDOW]) for i in range(len(out))), default=1)))
+    out = [0 if x.outside else ARTICLE * len(x.text) if x.article else len(x.text) - x.linked for x in page]
+    return out, max(1, min(SURGE, max((sum(out[i : i + WINDOW]) for i in range(len(out))), default=1)))
 
 
 def stretches(weight: list[int], threshold: int) -> list[tuple[int, int]]:

@@ -184,6 +184,13 @@ def test_html_keeps_every_stretch():
     assert html_text.extract(page).split("\n") == want
 
 
+def test_html_text_beside_articles():
+    """The main text is in a <div> and only teasers are in <article>: it surges all the same."""
+    text = [f"Paragraph {i} of the main text, which is long enough to be one." for i in range(5)]
+    page = PAGE % ("<div>" + "".join(f"<p>{x}</p>" for x in text) + "</div><article><p>Teaser</p></article>")
+    assert html_text.extract(page).split("\n") == [*text, "Teaser"]
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>a<p>b &am", "x"), (4, "u", "<" * 3000, "x"), (5, "u", "<article>" + "<p>x " * 5000, "x")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in html_text.extract_table(pages).collect()}
