@@ -4,7 +4,8 @@ Each merge rank has a bucket of the positions at which that merge was seen. A tw
 which buckets hold something: find-first-set on the summary word and then on one word of the lower level gives the
 lowest rank without a comparison, and an entry whose pair has changed meanwhile is skipped when it comes up. Tokens
 are a doubly linked list over byte positions, so that a merge costs constant time and a pre-token of n bytes costs
-O(n log n) at most, however long it is.
+O(n log n), however long it is. One queue merges all pre-tokens of a group of texts that the worker has not met: pairs
+never span two of them, so the lowest rank of all is the lowest of its own pre-token too.
 
 Null texts count as empty and give no ids. Empty texts, ties (equal ranks merge from the left), repeated rows, empty
 tables and further columns need no special care: a row's result depends on its text alone.
@@ -15,8 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,85 +28,125 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Ranks that share one word of the lower bitmap.
+#: Ranks that share one word of the lower bitmap, as a power of two.
 SPAN = 8
 #: Pre-tokens whose ids a worker remembers, and the longest that it remembers.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Characters of the texts whose pre-tokens are merged in one queue; a longer text has a queue of its own.
+TOGETHER = 1_000_000
+_LOW, _BITS = (1 << SPAN) - 1, [1 << i for i in range(1 << SPAN)]
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after = list(range(1, n + 1))  # where the token that begins here ends, which is where the next one begins
-    before = list(range(-1, n - 1))
-    pair_rank = [-1] * n  # the rank of this token with the next, as it is now
-    buckets: dict[int, list[int]] = {}
-    lower: dict[int, int] = {}
-    summary = 0
-    rank_of = ranks.get
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
-            pair_rank[i] = rank
-            if rank in buckets:
-                buckets[rank].append(i)
-            else:
-                buckets[rank] = [i]
-                high = rank >> SPAN
-                lower[high] = lower.get(high, 0) | 1 << (rank & 255)
-                summary |= 1 << high
-    while summary:
-        high = (summary & -summary).bit_length() - 1
-        word = lower[high]
-        low = (word & -word).bit_length() - 1
-        rank = high << SPAN | low
-        heap = buckets[rank]
-        at = heappop(heap)
-        if not heap:
-            del buckets[rank]
+class Merges:
+    """The ranks by pairs of ids, and the rank queue over any number of pre-tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.end = max(ranks.values(), default=0) + 1  # stands between pre-tokens: no token, so it is in no pair
+        #: By id, what it makes with the id to its right, and with the id to its left.
+        self.with_right: list[dict[int, int]] = [{}] * (self.end + 1)
+        self.with_left: list[dict[int, int]] = [{}] * (self.end + 1)
+        rank_of = ranks.get
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = rank_of(token[:cut]), rank_of(token[cut:])
+                if left is not None and right is not None:
+                    for known, one, other in ((self.with_right, left, right), (self.with_left, right, left)):
+                        if not known[one]:
+                            known[one] = {}
+                        known[one][other] = rank
+        self.single = np.array([rank_of(bytes((i,)), self.end) for i in range(256)])
+        self.first = np.full(1 << 16, -1)  # ranks of pairs of bytes
+        for i, left in enumerate(self.single.tolist()):
+            for j, right in enumerate(self.single.tolist()):
+                self.first[i << 8 | j] = self.with_right[left].get(right, -1)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian unsigned 32-bit integers.
+
+        Positions are bytes of all pre-tokens one after the other, a byte between two of them. A bucket is sorted when
+        its rank comes up, so equal ranks merge from the left; what a merge leaves at a lower rank comes before the
+        rest of the bucket.
+        """
+        if not pieces:
+            return []
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
+        codes = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        n = len(codes)
+        tokens = self.single[codes]
+        tokens[ends] = self.end
+        pairs = np.full(n, -1)
+        pairs[:-1] = self.first[codes[:-1].astype(np.int64) << 8 | codes[1:]]
+        pairs[ends] = -1
+        pairs[ends[ends > 0] - 1] = -1
+        order = np.argsort(pairs, kind="stable")
+        order = order[np.searchsorted(pairs[order], 0) :]
+        found, starts = np.unique(pairs[order], return_index=True)
+        buckets: list[list[int] | None] = [None] * self.end
+        lower = [0] * ((self.end >> SPAN) + 1)
+        summary, order = 0, order.tolist()
+        for rank, at, to in zip(found.tolist(), starts.tolist(), np.append(starts, len(order))[1:].tolist(), strict=True):
+            buckets[rank] = order[at:to]
+            lower[rank >> SPAN] |= _BITS[rank & _LOW]
+            summary |= 1 << (rank >> SPAN)
+        token, pair = tokens.tolist(), pairs.tolist()
+        after = list(range(1, n + 1))  # where the token that begins here ends, which is where the next one begins
+        before = list(range(-1, n - 1))
+        with_right, with_left = self.with_right, self.with_left
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = lower[high]
+            rank = high << SPAN | (word & -word).bit_length() - 1
             word &= word - 1
             lower[high] = word
             if not word:
                 summary &= summary - 1
-        if pair_rank[at] != rank:
-            continue  # stale
-        gone = after[at]
-        end = after[gone]
-        after[at] = end
-        pair_rank[gone] = -1
-        if end < n:
-            before[end] = at
-            new = rank_of(piece[at : after[end]])
-        else:
-            new = None
-        changed = ((at, new),)
-        left = before[at]
-        if left >= 0:
-            changed = ((at, new), (left, rank_of(piece[left:end])))
-        for i, new in changed:
-            if new is None:
-                pair_rank[i] = -1
-            elif pair_rank[i] != new or i == at:
-                pair_rank[i] = new
-                if new in buckets:
-                    heappush(buckets[new], i)
-                else:
-                    buckets[new] = [i]
-                    high = new >> SPAN
-                    lower[high] = lower.get(high, 0) | 1 << (new & 255)
-                    summary |= 1 << high
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return ids
+            bucket, buckets[rank] = buckets[rank], None
+            bucket.sort()
+            right_rank, left_rank = with_right[rank].get, with_left[rank].get
+            for done, at in enumerate(bucket, 1):
+                if pair[at] != rank:
+                    continue  # stale
+                gone = after[at]
+                after[at] = end = after[gone]
+                left = before[at]
+                before[end] = at
+                token[at] = rank
+                token[gone] = pair[gone] = -1
+                waits = False
+                new = right_rank(token[end], -1)
+                pair[at] = new
+                if new >= 0:
+                    if other := buckets[new]:
+                        other.append(at)
+                    else:
+                        buckets[new] = [at]
+                        lower[new >> SPAN] |= _BITS[new & _LOW]
+                        summary |= _BITS[new >> SPAN]
+                        waits = new < rank
+                new = left_rank(token[left], -1)
+                pair[left] = new
+                if new >= 0:
+                    if other := buckets[new]:
+                        other.append(left)
+                    else:
+                        buckets[new] = [left]
+                        lower[new >> SPAN] |= _BITS[new & _LOW]
+                        summary |= _BITS[new >> SPAN]
+                        waits |= new < rank
+                if waits and done < len(bucket):
+                    buckets[rank] = bucket[done:]
+                    lower[high] |= _BITS[rank & _LOW]
+                    summary |= _BITS[high]
+                    break
+        ids = np.array(token)
+        whole = (ids >= 0) & (ids != self.end)
+        to = (4 * np.cumsum(whole)[ends]).tolist()
+        out = ids[whole].astype("<u4").tobytes()
+        return [out[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
 
 
 class Codec(dict):
@@ -117,18 +157,49 @@ class Codec(dict):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.merges = Merges(ranks)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Takes up the ids of pre-tokens that are not known yet: one token if there is such a one, else by the queue."""
+        merged = []
+        for piece in pieces:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is None:
+                merged.append((piece, raw))
+            else:
+                self[piece] = whole.to_bytes(4, "little")
+        for (piece, _), ids in zip(merged, self.merges([raw for _, raw in merged]), strict=True):
+            self[piece] = ids
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens share one queue."""
+        split = [self.split(text) for text in texts]
+        found = [list(map(self.get, pieces)) for pieces in split]
+        new = {piece for pieces, ids in zip(split, found, strict=True) if None in ids for piece, x in zip(pieces, ids, strict=True) if x is None}
+        if new:
+            self.learn(new)
+            found = [list(map(self.get, pieces)) if None in ids else ids for pieces, ids in zip(split, found, strict=True)]
+            for piece in new:
+                if len(piece) > REMEMBERED_CHARS:
+                    del self[piece]
+            if len(self) > REMEMBERED:
                 self.clear()
-            self[piece] = ids
-        return ids
+        return list(map(b"".join, found))
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return self.encode_all([text])[0]
+
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """encode_all by groups of texts that hold TOGETHER characters, or are one."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > TOGETHER:
+                yield from self.encode_all(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from self.encode_all(held)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -159,7 +230,7 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            yield pd.Series([np.frombuffer(codec.encode(x or ""), "<i4") for x in batch])
+            yield pd.Series([np.frombuffer(ids, "<i4") for ids in codec.encode_batch(x or "" for x in batch)])
         codec.clear()
 
     return F.pandas_udf(encode, "array<int>")
@@ -185,8 +256,7 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
         codec = _codec(shared.value, pattern)
         for batch in batches:
             rows = []
-            for text in batch:
-                ids = codec.encode(text or "")
+            for ids in codec.encode_batch(x or "" for x in batch):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
         codec.clear()  # an idle worker holds no pre-tokens
