@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text, normalised by length.
 
 Folding lowers case, takes look-alike letters of other scripts and digits inside words for the Latin letters they
-resemble, drops invisible characters and puts one space for everything between words. Entries are whole words or
+resemble (a 1 is read as i and, in a second pass, as l), drops invisible characters and puts one space for everything
+between words. Entries are whole words or
 beginnings of words; a match inside an exception phrase does not count. Entries and weights are learnt from labelled
 texts: the log of how much oftener a word is found in toxic texts than in others, less one standard error of that. A
 small list of insults comes with the module; those that the labelled texts do not speak against stay in the lexicon. A logistic curve over the weights found, whole and per word, gives the score.
@@ -36,6 +37,7 @@ MODULUS, HELD_OUT = 5, 0
 HOMOGLYPHS = str.maketrans("абвгеёіїјкмнорстухѕԁԛԝάαβγεικνορτυχ", "a6breeiijkmhopctyxsdqwaabyeikvoptux")
 # What digits and signs inside words stand for.
 LEET = str.maketrans("013456789@$", "oieasgtbgas")
+LEET_L = {**LEET, ord("1"): "l"}
 # Invisible characters.
 INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 # Insults that are known without labels, and phrases in which words of the list mean no insult.
@@ -49,13 +51,13 @@ _MIXED = re.compile(r"(?<![0-9])[0-9@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0-9@$]+(?![0-
 _MARK = re.compile(r"[0-9@$]")
 
 
-def fold(text: str) -> str:
+def fold(text: str, leet: dict[int, str | int] = LEET) -> str:
     """Words with one space before, between and after them."""
     text = text.lower()
     if not text.isascii():
         text = text.translate({**INVISIBLE, **_FULLWIDTH}).lower() if any(c in text for c in "​‍­‌⁠﻿") or re.search("[！-～]", text) else text
     if _MARK.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(LEET), text)
+        text = _MIXED.sub(lambda m: m[0].translate(leet), text)
     return f" {' '.join(text.translate(_TABLE).split())} "
 
 
@@ -99,7 +101,14 @@ class Lexicon:
 
     def measures(self, text: str) -> tuple[float, float]:
         folded = fold(text)
-        weight = sum(w for _, _, w in self.matches(folded))
+        found = self.matches(folded)
+        if "1" in text and (other := fold(text, LEET_L)) != folded:
+            best: dict[int, float] = {}  # both foldings have their words at the same places
+            for begin, _, w in found + self.matches(other):
+                best[begin] = max(w, best.get(begin, w))
+            weight = sum(best[begin] for begin in sorted(best))
+        else:
+            weight = sum(w for _, _, w in found)
         return math.log1p(weight), weight / (folded.count(" ") + 20)
 
     def score(self, text: str) -> float:
@@ -125,7 +134,8 @@ def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
             for text in batch["text"]:
                 each = _candidates(fold(text))
                 found.update(each if only is None else each & only)
-        yield pd.DataFrame({"entry": list(found), "n": list(found.values())}, columns=["entry", "n"])
+        if found:  # Arrow takes no string column from a frame without rows
+            yield pd.DataFrame({"entry": list(found), "n": list(found.values())}, columns=["entry", "n"])
 
     return sample.select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
@@ -139,9 +149,11 @@ def learn(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE, share: f
 
     An entry is found in at least `share` of the toxic texts and in `least` of them; its weight is at least `weight`;
     the `entries` heaviest are kept. A stem or word that begins like a heavier entry says nothing new and is left out, as is
-    a stem that other texts have too and whose toxic texts a heavier entry mostly accounts for.
+    a stem that other texts have too and whose toxic texts a heavier entry mostly accounts for. Equal texts are one, toxic
+    if one of them is labelled so.
     """
-    sample = checkpointed(labelled_sample(documents, labels, "toxic", MODULUS, HELD_OUT, bound).dropDuplicates(["text"]))
+    sample = labelled_sample(documents, labels, "toxic", MODULUS, HELD_OUT, bound)
+    sample = checkpointed(sample.groupBy("text").agg(F.max("label").alias("label")))
     n = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     toxic, others = n.get(1, 0), n.get(0, 0)
     if not toxic or not others:

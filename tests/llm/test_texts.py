@@ -212,3 +212,47 @@ def test_media(spark, tmp_path):
     names = [m.name for p in (tmp_path / "shards").iterdir() for m in tarfile.open(p)]
     assert names and all(re.fullmatch(r"[0-9a-f]{2}/[0-9a-f]{64}\.png", n) for n in names)
     assert media.media_table(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_bpe_in_groups():
+    """Pre-tokens of many texts in one queue, long ones and repeated ones among them, equal each text on its own."""
+    ranks = byte_bpe.read_ranks(open(byte_bpe.VOCABULARY, "rb").read())
+    own, codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.Codec(ranks)
+    rng = random.Random(12)
+    texts = ["", "a" * 5000, "abcab" * 900, "the theatre", *(" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 12))) for _ in range(60)) for _ in range(300)), "", "a" * 5000]
+    for _ in range(2):  # known pre-tokens the second time
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(texts)] == own.encode_ordinary_batch(texts)
+    assert max(map(len, codec)) <= byte_bpe.REMEMBERED_CHARS
+
+
+def test_bpe_empty_table(spark):
+    assert byte_bpe.encode_table(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_toxicity_without_candidates(spark):
+    """Empty partitions, and texts in which no candidate is found, give no counts rather than a frame Arrow rejects."""
+    texts = spark.createDataFrame([("a b",), ("",)], "text string").repartition(5)
+    assert toxicity._counts(texts).count() == 0
+    assert toxicity._counts(spark.createDataFrame([("blorgo",)], "text string"), frozenset({" other "})).count() == 0
+    docs = frame(spark, [(i, f"a b {i}" if i % 2 else f"blorgo w{i}", "a", "en") for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert " blorgo " in lexicon.entries or " blor" in lexicon.entries
+    rows = {r.doc_id: r.predicted for r in toxicity.score_table(docs, lexicon).collect()}
+    assert all(rows[i] == 1 - i % 2 for i in range(200))
+
+
+def test_toxicity_equal_texts_with_two_labels(spark):
+    """One text labelled both ways counts once, as toxic, whatever the order of rows."""
+    rows = [(i, "glarp here" if i < 60 else f"plain words {i}", "a", "en") for i in range(200)]
+    labels = [(i, 1, i % 2 if i < 60 else 0) for i in range(200)] + [(200 + i, 1, 1) for i in range(40)]
+    rows += [(200 + i, f"zonk {i}", "a", "en") for i in range(40)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = [toxicity.learn(frame(spark, rows).repartition(n), marks) for n in (1, 6)]
+    assert found[0].entries == found[1].entries and np.allclose(found[0].curve, found[1].curve)
+
+
+def test_one_is_read_as_i_and_as_l():
+    lexicon = toxicity.Lexicon({" clown ": 3.0, " idiot ": 2.0})
+    plain = lexicon.measures("a clown and an idiot")
+    assert lexicon.measures("a c1own and an 1d10t") == plain and lexicon.measures("a c1own and an idiot") == plain
