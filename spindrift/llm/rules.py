@@ -1,23 +1,26 @@
 """Quality rules: plain limits, and robust multivariate outliers of each language and source.
 
 DataFrame functions alone. The statistics of a text become a vector of transformed shares. For each group of language
-and source the minimum-covariance-determinant estimate is sought by concentration steps: beginning with medians and
-spreads, the share H of the rows that are nearest to the centre give the next mean and covariance. A row whose
-Mahalanobis distance from the last estimate is beyond the cut is rejected.
+and source the estimate of mean and covariance whose covariance has the least determinant, among those of the share H of the rows, is sought
+by concentration: the rows nearest to an estimate give the next one, which never has a greater determinant. Each group
+has STARTS starts: medians and spreads, all rows, and two draws of about DRAWN rows. All take FIRST steps; the start
+that has come to the least determinant goes on until no group's determinant falls any more, SETTLE steps at most. A
+row whose squared Mahalanobis distance from the estimate is beyond the CONFIDENCE quantile of chi-squared is rejected.
 
-Every step is two sums over all rows, pre-aggregated in each task: moments of whole numbers (components in
-thousandths), and counts by bin of the distance, of which the H-quantile is read. So nothing is sampled, no group
-meets in one task, and sums do not depend on their order: reruns agree. Group tables come back to the rows by a join
-in which groups are spread over SALTS keys.
+Every step is two sums over all rows, pre-aggregated in each task: counts by bin of the distance, of which the
+H-quantile is read, and moments of whole numbers (components in thousandths) over the rows up to that bin. So nothing
+is sampled but two of the starts, no group meets in one task, and sums do not depend on their order: reruns agree.
+Group tables come back to the rows by a join in which groups are spread over SALTS keys.
 
 Null texts have no words; null languages and sources are groups of their own. A group of fewer than LEAST rows has no
-estimate and is judged by the estimate over all rows. Components have a least variance, so that constant ones (or a
+estimate and is judged by the estimate over all rows. Components have a least variance, which is added to theirs, so that constant ones (or a
 group of equal rows) give finite distances. Repeated rows count as often as they are there; equal rows get equal
 verdicts. An empty table gives an empty one; other columns are not read. A text of n words takes O(n log n).
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, clean_text
 
-#: The share of rows that an estimate rests on, the concentration steps, rows that a group needs, keys of a group.
-H, STEPS, LEAST, SALTS = 0.75, 2, 50, 16
-#: The squared distance beyond which a row is rejected: far beyond the 0.999999 quantile of chi-squared with 5 degrees.
-CUT = 90.0
+#: The share of rows that an estimate rests on, rows that a group needs, keys of a group.
+H, LEAST, SALTS = 0.75, 50, 16
+#: Starts of a group, rows that those of drawn rows begin with, steps of all starts, and of the best one at most.
+STARTS, DRAWN, FIRST, SETTLE = 4, 24, 2, 20
+#: Logarithms of determinants that differ by no more are the same.
+SAME = 1e-3
+#: The probability with which a row of a normal group is kept.
+CONFIDENCE = 1 - 1e-9
 #: Components in thousandths, and for each the least standard deviation, in thousandths.
 COMPONENTS = {"word_length": 60, "symbols": 250, "duplicate_lines": 100, "repeated_words": 100, "capitals": 60}
 SCALE = 1000
@@ -93,12 +100,41 @@ def vectors(measured: DataFrame) -> DataFrame:
 _KEYS = ("lang", "source")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def chi_squared(x: float, degrees: int) -> float:
+    """The probability that a chi-squared variable is below x, by the series of the incomplete gamma function."""
+    term = total = 1 / math.gamma(degrees / 2 + 1)
+    k = 0
+    while term > 1e-17 * total:
+        k += 1
+        term *= x / 2 / (degrees / 2 + k)
+        total += term
+    return total * (x / 2) ** (degrees / 2) * math.exp(-x / 2)
+
+
+def quantile(probability: float, degrees: int) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared(middle, degrees) < probability else (low, middle)
+    return high
+
+
+#: The nearest rows spread less than all: what makes their covariance that of a normal group.
+FACTOR = H / chi_squared(quantile(H, len(COMPONENTS)), len(COMPONENTS) + 2)
+CUT = quantile(CONFIDENCE, len(COMPONENTS))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = _KEYS) -> DataFrame:
+    """Two tables with a row a group."""
+    named = groups.withColumnsRenamed({k: f"g_{k}" for k in keys})
+    return rows.join(named, reduce(lambda a, b: a & b, (rows[k].eqNullSafe(named[f"g_{k}"]) for k in keys))).drop(*(f"g_{k}" for k in keys))
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with what `groups` has of their group, salted: no key has more than its share of a hot group."""
+    """rows with what `groups` has of their group, salted: no key has more than its share of a hot group.
+
+    A row comes as often as its group is in `groups`.
+    """
     spread = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumnsRenamed({k: f"g_{k}" for k in _KEYS})
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
     on = salted["lang"].eqNullSafe(spread["g_lang"]) & salted["source"].eqNullSafe(spread["g_source"]) & (salted["salt"] == spread["salt"])
@@ -111,93 +147,109 @@ def _middle(rows: DataFrame) -> DataFrame:
     long = rows.select(*_KEYS, F.explode(F.array(*(F.struct(F.lit(k).alias("part"), (F.round(F.col(k) / 5) * 5).cast("long").alias("v")) for k in names))).alias("x")).select(*_KEYS, "x.*")
     counted = long.groupBy(*_KEYS, "part", "v").count()
 
-    def quantile(counted: DataFrame, name: str) -> DataFrame:
+    def half(counted: DataFrame, name: str) -> DataFrame:
         group = Window.partitionBy(*_KEYS, "part")
         so_far, total = F.sum("count").over(group.orderBy("v")), F.sum("count").over(group)
         return counted.select(*_KEYS, "part", "v", "count", so_far.alias("c"), total.alias("n")).groupBy(*_KEYS, "part").agg(F.min(F.when(2 * F.col("c") >= F.col("n"), F.col("v"))).alias(name), F.max("n").alias("n"))
 
-    middle = quantile(counted, "median").withColumnsRenamed({k: f"g_{k}" for k in (*_KEYS, "part")})
-    on = counted["lang"].eqNullSafe(middle["g_lang"]) & counted["source"].eqNullSafe(middle["g_source"]) & (counted["part"] == middle["g_part"])
-    away = counted.join(middle.drop("n"), on).select(*_KEYS, "part", F.abs(F.col("v") - F.col("median")).alias("v"), "count", "median").groupBy(*_KEYS, "part", "v", "median").agg(F.sum("count").alias("count"))
-    spread = quantile(away, "mad").withColumnsRenamed({k: f"g_{k}" for k in (*_KEYS, "part")}).drop("n")
-    on = middle["g_lang"].eqNullSafe(spread["g_lang"]) & middle["g_source"].eqNullSafe(spread["g_source"]) & (middle["g_part"] == spread["g_part"])
-    both = middle.join(spread, on).select(middle["g_lang"].alias("lang"), middle["g_source"].alias("source"), middle["g_part"].alias("part"), "median", "mad", "n")
+    middle = half(counted, "median")
+    away = _of_groups(counted, middle.drop("n"), (*_KEYS, "part")).select(*_KEYS, "part", F.abs(F.col("v") - F.col("median")).alias("v"), "count", "median").groupBy(*_KEYS, "part", "v", "median").agg(F.sum("count").alias("count"))
+    both = _of_groups(middle, half(away, "mad").drop("n"), (*_KEYS, "part"))
     each = [F.max(F.when(F.col("part") == k, F.col(x))).alias(f"{x}_{k}") for k in names for x in ("median", "mad")]
     return both.groupBy(*_KEYS).agg(F.max("n").alias("n"), *each)
 
 
-def _first_distance() -> Column:
-    parts = [((F.col(k) - F.col(f"median_{k}")) / F.greatest(1.4826 * F.col(f"mad_{k}"), F.lit(float(floor)))) for k, floor in COMPONENTS.items()]
-    return reduce(lambda a, b: a + b, (p * p for p in parts))
+_PAIRS = [(a, b) for i, a in enumerate(COMPONENTS) for b in list(COMPONENTS)[: i + 1]]
+_ESTIMATE = [*(f"m_{a}" for a in COMPONENTS), *(f"l_{a}_{b}" for a, b in _PAIRS), "determinant"]
+
+
+def _from_middle(middle: DataFrame) -> DataFrame:
+    """The estimate that medians and spreads give, without covariances."""
+    spread = {k: F.greatest(1.4826 * F.col(f"mad_{k}"), F.lit(float(least))) for k, least in COMPONENTS.items()}
+    sides = ((spread[a] if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for a, b in _PAIRS)
+    return middle.select(*_KEYS, F.lit(0).alias("start"), *(F.col(f"median_{a}").cast("double").alias(f"m_{a}") for a in COMPONENTS), *sides, F.lit(math.inf).alias("determinant"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Of each group and start the mean and, by Cholesky, what turns a difference from it into independent components.
+
+    determinant is the logarithm of the covariance's.
+    """
+    names = list(COMPONENTS)
+    sums = rows.groupBy(*_KEYS, "start").agg(F.count("*").alias("k"), *(F.expr(f"sum({a}) AS s_{a}") for a in names), *(F.expr(f"sum({a} * {b}) AS p_{a}_{b}") for a, b in _PAIRS))
+    covariance = (f"(p_{a}_{b} / k - s_{a} / k * s_{b} / k) * {FACTOR!r}D + {COMPONENTS[a] ** 2 if a == b else 0}D AS c_{a}_{b}" for a, b in _PAIRS)
+    out = sums.selectExpr(*_KEYS, "start", *(f"s_{a} / k AS m_{a}" for a in names), *covariance)
+    for j, b in enumerate(names):  # column by column
+        rest = lambda a: " - ".join([f"c_{a}_{b}", *(f"l_{a}_{c} * l_{b}_{c}" for c in names[:j])])  # noqa: B023, E731
+        out = out.selectExpr("*", f"sqrt(greatest({rest(b)}, 1e-6D)) AS l_{b}_{b}")
+        if j + 1 < len(names):
+            out = out.selectExpr("*", *(f"({rest(a)}) / l_{b}_{b} AS l_{a}_{b}" for a in names[j + 1 :]))
+    determinant = " + ".join(f"2 * ln(l_{a}_{a})" for a in names)
+    return out.selectExpr("*", f"{determinant} AS determinant").select(*_KEYS, "start", *_ESTIMATE)
+
+
+def _mahalanobis() -> str:
+    """The squared distance by forward substitution."""
+    z: dict[str, str] = {}
+    for a in COMPONENTS:
+        z[a] = f"(({' - '.join([a, f'm_{a}', *(f'l_{a}_{b} * {z[b]}' for b in z)])}) / l_{a}_{a})"
+    return " + ".join(f"{x} * {x}" for x in z.values())
+
 
+def _distances(rows: DataFrame, estimates: DataFrame, *further: str) -> DataFrame:
+    """rows with their distance from each estimate of their group, and what `further` names of the estimates."""
+    return _with_groups(rows, estimates).selectExpr(*rows.columns, *further, f"{_mahalanobis()} AS distance")
 
-#: Distances are counted in bins of equal width of their logarithm.
-_BINS, _PER = 400, 20.0
+
+#: Distances are counted in bins of equal width of their logarithm, half a percent each.
+_BINS, _PER = 4000, 200.0
 
 
 def _bin(distance: Column) -> Column:
     return F.least(F.lit(_BINS), F.floor(F.log1p(distance) * _PER)).cast("int")
 
 
-def _nearest(rows: DataFrame, distance: Column) -> DataFrame:
-    """The rows among the share H of their group that is nearest, whole bins; distance is the last column's name."""
-    binned = rows.withColumn("bin", _bin(distance))
-    counted = binned.groupBy(*_KEYS, "bin").count()
-    group = Window.partitionBy(*_KEYS)
-    edge = counted.select(*_KEYS, "bin", F.sum("count").over(group.orderBy("bin")).alias("c"), F.sum("count").over(group).alias("n")).groupBy(*_KEYS).agg(F.min(F.when(F.col("c") >= H * F.col("n"), F.col("bin"))).alias("edge"))
-    return _with_groups(binned, edge).filter("bin <= edge").drop("bin", "edge")
+def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimates of the share H of each group, in whole bins, that is nearest to the present ones."""
+    counted = _distances(rows, estimates, "start").groupBy(*_KEYS, "start", _bin(F.col("distance")).alias("bin")).count()
+    group = Window.partitionBy(*_KEYS, "start")  # _BINS rows at most
+    edge = counted.select(*_KEYS, "start", "bin", F.sum("count").over(group.orderBy("bin")).alias("c"), F.sum("count").over(group).alias("n"))
+    edge = edge.groupBy(*_KEYS, "start").agg(F.min(F.when(F.col("c") >= H * F.col("n"), F.col("bin"))).alias("edge"))
+    edged = _of_groups(estimates, edge, (*_KEYS, "start"))
+    return checkpointed(_moments(_distances(rows, edged, "start", "edge").filter(_bin(F.col("distance")) <= F.col("edge"))))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Of each group the mean and, by Cholesky, what turns a difference from it into independent components."""
-    names = list(COMPONENTS)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
-    sums = rows.groupBy(*_KEYS).agg(F.count("*").alias("k"), *(F.sum(F.col(a)).alias(f"s_{a}") for a in names), *(F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs))
-    out = sums.select("*", *((F.col(f"s_{a}") / F.col("k")).alias(f"m_{a}") for a in names))
-    # The nearest rows spread less than all: the usual factor for H = 0.75 and 5 components.
-    factor = 1.5
-    out = out.select("*", *(((F.col(f"p_{a}_{b}") / F.col("k") - F.col(f"m_{a}") * F.col(f"m_{b}")) * factor + (F.lit(float(COMPONENTS[a] ** 2)) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for a, b in pairs))
-    for i, a in enumerate(names):
-        for j, b in enumerate(names[: i + 1]):
-            rest = F.col(f"c_{a}_{b}")
-            for c in names[:j]:
-                rest = rest - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return out.select(*_KEYS, *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for a, b in pairs))
-
-
-def _mahalanobis() -> tuple[list[tuple[str, Column]], Column]:
-    """The squared distance by forward substitution: columns to add one after the other, and their sum of squares."""
-    names, steps = list(COMPONENTS), []
-    for i, a in enumerate(names):
-        rest = F.col(a) - F.col(f"m_{a}")
-        for b in names[:i]:
-            rest = rest - F.col(f"l_{a}_{b}") * F.col(f"z_{b}")
-        steps.append((f"z_{a}", rest / F.col(f"l_{a}_{a}")))
-    return steps, reduce(lambda a, b: a + b, (F.col(f"z_{a}") * F.col(f"z_{a}") for a in names))
-
-
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    base = rows.columns
-    out = _with_groups(rows, estimates)
-    steps, total = _mahalanobis()
-    for name, column in steps:
-        out = out.withColumn(name, column)
-    return out.select(*base, total.alias("distance"))
-
-
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The estimates of every group of `rows` (lang, source and COMPONENTS): one row each, by concentration steps."""
-    middle = checkpointed(_middle(rows))
-    near = _nearest(_with_groups(rows, middle.drop("n")), _first_distance()).select(*rows.columns)
-    found = checkpointed(_moments(near))
-    for _ in range(steps):
-        near = _nearest(_distances(rows, found), F.col("distance")).select(*rows.columns)
-        found = checkpointed(_moments(near))
-    return found
+def _least(estimates: DataFrame) -> DataFrame:
+    """Of each group the estimate of least determinant."""
+    return estimates.groupBy(*_KEYS).agg(F.min(F.struct("determinant", "start", *(c for c in _ESTIMATE if c != "determinant"))).alias("e")).select(*_KEYS, "e.*")
 
 
-def judge(documents: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:
+def _begun(rows: DataFrame) -> DataFrame:
+    """The estimates that all starts begin with; a row is drawn by its hash, so that reruns agree."""
+    middle = checkpointed(_middle(rows))
+    lot = lambda start: F.pmod(F.xxhash64(F.lit(start), "doc_id", *COMPONENTS), F.col("n")) < DRAWN
+    starts = F.array_compact(F.array(F.lit(1), *(F.when(lot(k), F.lit(k)) for k in range(2, STARTS))))
+    drawn = _with_groups(rows, middle.select(*_KEYS, "n")).withColumn("start", F.explode(starts))
+    return _from_middle(middle).unionByName(_moments(drawn))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """The estimates of every group of `rows` (doc_id, word_chars, lang, source and COMPONENTS): one row each."""
+    found = checkpointed(_begun(rows))
+    for _ in range(FIRST):
+        found = _concentrated(rows, found)
+    found = checkpointed(_least(found))
+    for _ in range(SETTLE):
+        step = _concentrated(rows, found)
+        fell = _of_groups(step.select(*_KEYS, "determinant"), found.select(*_KEYS, F.col("determinant").alias("before"))).filter(F.col("determinant") < F.col("before") - SAME)
+        done = fell.isEmpty()
+        found = checkpointed(_least(found.unionByName(step)))
+        if done:
+            break
+    return found.drop("start", "determinant")
+
+
+def judge(documents: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, n_words, the statistics, base_failed, distance (null if base_failed) and kept of every document."""
     rows = checkpointed(vectors(measure(documents)))
     passed = rows.filter(~F.col("base_failed"))
@@ -207,7 +259,7 @@ def judge(documents: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFra
     grouped = checkpointed(grouped)
     everything = passed.select("doc_id", "word_chars", F.lit("\0all").alias("lang"), F.lit("\0all").alias("source"), *COMPONENTS)
     own = grouped.filter("lang IS NULL OR lang != '\0all'").select("doc_id", "word_chars", "lang", "source", *COMPONENTS)
-    found = estimate(own.unionByName(everything), steps)
+    found = estimate(own.unionByName(everything))
     judged = _distances(grouped, found).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance")
     failed = rows.filter("base_failed").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
