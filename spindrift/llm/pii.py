@@ -282,11 +282,15 @@ def _segments(text: str, whole: bool) -> list[list[tuple[int, int]]]:
 
 
 def _beside(text: str, begin: int, end: int) -> tuple[list[str], list[str]]:
-    """The two tokens before `begin` and the one after `end`; of a long one, a part that is no cue."""
-    low = max(0, begin - 80)
-    before = _TOKEN.findall(text[low:begin])
-    if low and before and text[low] not in _SPACE and text[low - 1] not in _SPACE:
-        before[0] = "x" * 40
+    """The two tokens before `begin`, however far away, and the one after `end`; of a long one, its beginning."""
+    room = 80
+    while True:
+        low = max(0, begin - room)
+        before = _TOKEN.findall(text[low:begin])
+        cut = low and text[low] not in _SPACE and text[low - 1] not in _SPACE  # the first one may be a part of a token
+        if not low or len(before) - bool(cut) >= 2:
+            break
+        room *= 8
     after = _TOKEN.search(text, end)
     return before[-2:], [after[0][:40]] if after else []
 
