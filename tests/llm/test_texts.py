@@ -256,3 +256,138 @@ def test_one_is_read_as_i_and_as_l():
     lexicon = toxicity.Lexicon({" clown ": 3.0, " idiot ": 2.0})
     plain = lexicon.measures("a clown and an idiot")
     assert lexicon.measures("a c1own and an 1d10t") == plain and lexicon.measures("a c1own and an idiot") == plain
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>Text of it</p></article>", "Text of it"),
+        ("<html><head><title>t</title><meta charset=x><article><p>Text of it</p></article>", "Text of it"),
+        ('<div class="content has-sidebar"><article><p>Text of it</p></article></div>', "Text of it"),
+        ('<div class="no-comments"><article><p>Text of it</p></article></div>', "Text of it"),
+        ('<article><p>Text of it</p><p class="related-work">Related work is older</p></article>', "Text of it\nRelated work is older"),
+        ('<div class="sidebar"><main><p>Text of it</p></main></div>', "Text of it"),
+        ("<article><p>Text of it</p><button>Buy<p>and more</p><button>Sell</article>", "Text of it\nBuy\nand more\nSell"),
+        ("<article><p>Text</p><select><option>a</select><button>Buy</button><p>end<script>if (a < b) '</p>'", "Text\nend"),
+        ('<div><p><a href="/x">A heading that is a link</a></p><p>A paragraph that is long enough to make the window surge.</p><p><a href="/y">And a link that ends it</a></p></div>', "A heading that is a link\nA paragraph that is long enough to make the window surge.\nAnd a link that ends it"),
+        ('<article><p>Text</p><div class="cookie-notice">We use</div><div id="comment-list"><p>Reader</p></div><p class="site-footer">x</p></article>', "Text"),
+    ],
+)
+def test_html_layouts(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_html_generated_pages():
+    """Pages put together of an article that is known and of parts that are none, in many layouts."""
+    rng = random.Random(21)
+    words = "the of a report wind river says new people water and light house under".split()
+    sentence = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b))).capitalize() + "."
+    for n in range(300):
+        blocks, html = [], []
+        for _ in range(rng.randint(1, 14)):
+            text = sentence(4, 60)
+            kind = rng.choice(("p", "p", "p", "h2", "li", "blockquote"))
+            inner = text.replace("and", "<b>and</b>", 1).replace(" of ", "\n\t of ", 1).replace("wind", "<a href='/w'>wind</a>", 1)
+            blocks.append(text)
+            html.append(f"<ul><li>{inner}</li></ul>" if kind == "li" else f"<{kind}>{inner}</{kind}>" if kind != "p" or rng.random() < 0.7 else f"<p class='lead'>{inner}")
+            if rng.random() < 0.15:
+                html.append(rng.choice(('<div class="ad-slot">Buy this</div>', "<script>x('<p>no</p>')</script>", "<aside><p>Side note of the page</p></aside>", "<form><p>Your mail</p><button>Go</button></form>", '<div id="newsletter"><p>Subscribe to it</p></div>', "<!-- <p>gone</p> -->")))
+        around = rng.choice(("<article>%s</article>", "<main>%s</main>", "<div role='main'>%s</div>", '<div class="content has-sidebar"><article>%s</article></div>', "<main><section>%s</section></main>"))
+        head = rng.choice(("<head><title>A title</title></head>", "<head><title>A title</title>", "<title>A title</title>", "<head><style>p{}</style>"))
+        page = f"<!doctype html><html>{head}<body class='no-js'><header><p>The name of the site, in many words</p></header><nav><ul><li><a href='/'>Home</a></ul></nav>{around % ''.join(html)}<section class='comments'><article><p>{sentence(20, 40)}</p></article></section><footer><p>{sentence(5, 30)}</p></footer></body></html>"
+        assert html_text.extract(page) == "\n".join(blocks), page
+
+
+def test_html_empty_table_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<main><p>a"), (1, "u", "<main><p>a")], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract_table(pages).collect()] == ["a", "a"]
+    assert html_text.extract_table(pages.limit(0)).count() == 0
+
+
+def test_html_time_is_linear():
+    import time
+
+    began = time.time()
+    html_text.extract("<button>x" * 40_000 + "<title>" * 5000 + "<p class='" * 2000)
+    assert time.time() - began < 20
+
+
+def naive_matches(lexicon, folded):
+    """Each entry held against each place; phrases that spare what is inside them."""
+    spared = [(i, i + len(p)) for p in map(toxicity.fold, lexicon.exceptions) if p not in lexicon.entries for i in range(len(folded)) if folded.startswith(p, i)]
+    out = []
+    for i in range(len(folded)):
+        found = [(w, len(e)) for e, w in lexicon.entries.items() if folded.startswith(e, i)]
+        if found:
+            weight = max(w for w, _ in found)
+            n = [n for w, n in found if w == weight]
+            if not any(a <= i and i + n[0] <= b for a, b in spared):
+                out.append((i, weight))
+    return out
+
+
+def test_toxicity_equals_naive_matching():
+    rng = random.Random(31)
+    lexicon = toxicity.Lexicon({" clown ": 3.0, " mor": 2.0, " moron ": 4.5, " trash ": 2.5, " pathet": 1.5, " scum ": 5.0})
+    words = ["clown", "fish", "moron", "m0ron", "morons", "tr@sh", "can", "Pathetic", "ЅСUМ", "pond", "scum", "removal", "the", "clowns", "class", "1", "c1own"]
+    for _ in range(2000):
+        folded = toxicity.fold(rng.choice((" ", ", ", "-")).join(rng.choice(words) for _ in range(rng.randint(0, 12))))
+        assert [(a, w) for a, _, w in lexicon.matches(folded)] == naive_matches(lexicon, folded)
+
+
+def test_toxicity_odd_texts(spark):
+    lexicon = toxicity.Lexicon({" clown ": 3.0})
+    rows = [*ODD, (7, "x " * 200_000 + "clown", "a", "en"), (7, "x " * 200_000 + "clown", "a", "en"), (8, "clown", "a", "en")]
+    out = toxicity.score_table(frame(spark, rows), lexicon).collect()
+    assert len(out) == len(rows) and len({r.score for r in out if r.doc_id == 7}) == 1
+    assert max(out, key=lambda r: r.score).doc_id == 8
+    empty = {r.score for r in out if r.doc_id in (1, 2, 5)}
+    assert len(empty) == 1
+
+
+def test_quality_equals_direct_solution(spark):
+    """The summed normal equations give what numpy solves over all learnt rows at once, and calibration is isotonic."""
+    rng = random.Random(33)
+    rows = [(i, " ".join(f"{rng.choice('abcdef')}{rng.choice(('lo', 'ra', 'min'))}{rng.choice(('', '', '$')) if i % 3 else '#'}" for _ in range(rng.randint(20, 60))), "a", "en") for i in range(500)]
+    docs, marks = frame(spark, rows), spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    scorer = quality.learn(docs, marks)
+    learnt = [(t, i % 3 != 0) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = quality.matrix([t for t, _ in learnt]), np.array([float(v) for _, v in learnt])
+    assert np.allclose(scorer.mean, x.mean(0)) and np.allclose(scorer.scale[x.std(0) > 1e-9], x.std(0)[x.std(0) > 1e-9])
+    fit = np.array([zlib.crc32(t.encode()) % 4 > 0 for t, _ in learnt])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))[fit]
+    z, total = scorer.lift(x[fit]), weight.sum()
+    side = z.T @ (z * weight[:, None]) / total + 1e-3 * np.diag([0.0] + [1.0] * (quality.FEATURES - 1)) + 1e-9 * np.eye(quality.FEATURES)
+    assert np.allclose(z @ scorer.beta, z @ np.linalg.solve(side, z.T @ (weight * y[fit]) / total), atol=1e-6)
+
+
+def test_isotonic_equals_min_max_formula():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = np.arange(20.0), rng.integers(0, 2, 20).astype(float)
+        best = [max(min(y[i : j + 1].mean() for j in range(k, 20)) for i in range(k + 1)) for k in range(20)]
+        at, value = quality.isotonic(x, y)
+        blocks, k = [], 0
+        while k < 20:
+            j = k
+            while j + 1 < 20 and abs(best[j + 1] - best[k]) < 1e-12:
+                j += 1
+            blocks.append((x[k : j + 1].mean(), (y[k : j + 1].sum() + 0.5) / (j - k + 2)))
+            k = j + 1
+        assert np.allclose(at, [b[0] for b in blocks]) and np.allclose(value, [b[1] for b in blocks])
+
+
+def test_quality_empty_table_and_repeated_rows(spark):
+    scorer = quality.Scorer(np.zeros(18), np.ones(18), np.zeros((18, 3)), np.zeros(3), np.ones(4), (np.array([0.0, 9.0]), np.array([0.0, 1.0])))
+    assert quality.score_table(frame(spark, ODD).limit(0), scorer).count() == 0
+    out = quality.score_table(frame(spark, ODD), scorer).collect()
+    assert len(out) == len(ODD) and len({r.score for r in out if r.doc_id == 4}) == 1
+
+
+def test_pii_far_context():
+    """A cue counts however much white space, or however long a token, stands between it and the value."""
+    crf = pii.fit()
+    whole = dataclasses.replace(crf, margin=-1.0)
+    for gap in (" ", " " * 500, "\n" * 90, " " + "y" * 300 + " "):
+        text = f"token{gap}24be64439e3e49cf46b2d7c90f3602a3d0b907ff and so on"
+        assert pii.added_spans([text], crf) == pii.added_spans([text], whole)
