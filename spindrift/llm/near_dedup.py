@@ -43,6 +43,8 @@ VALUES, TREES, BASE, DEEP, DENSE, TILE = 128, 32, 5, 9, 1024, 512
 POSITIONS = TREES * BASE
 #: Rows of a tile where only sketches meet.
 SKETCH_TILE = 4096
+#: Keys over which the members of one family are spread where they meet its largest component.
+SALTS = 64
 #: Rounds of `components` that go by the nodes' own order.
 PLAIN_ROUNDS = 6
 #: Probability with which the sketches of a pair of just the similarity sought may hide it: what the forest misses too.
@@ -372,7 +374,9 @@ def _counted(each: DataFrame) -> DataFrame:
     """each of the families of several components, with the largest one (hub), its rows (most) and the family's (all)."""
     counted = each.groupBy("family", "root").agg(F.count("*").alias("n"))
     hub = counted.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("hub"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter("parts > 1")
-    return each.join(hub.drop("parts"), "family")
+    # Salted: a family may hold most rows, and a join by it alone would leave all its tiles in one task.
+    spread = hub.drop("parts").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).join(spread, ["family", "salt"]).drop("salt")
 
 
 def _tiles(known: DataFrame, rows: int, *kinds: str) -> GroupedData:
