@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matching, pruning, statistics, versions
 from .operators.matching import Matcher, name
 from .plans import patterns
 from .plans.parser import ANY, STRICT, CreateIndex, CreateTable, Query, parse
-from .sources.tables import EventTable, column_of, struct_of
+from .sources.tables import EventTable, column_of, struct_of, write_events
 
 PREFILTERS = (None, "buckets", "intervals")
+#: Events of a bucket that are meant to meet in one task, and buckets of a window at most.
+TASK_ROWS, MOST_SPLITS = 2_000_000, 64
 
 
 @dataclass
@@ -23,6 +27,7 @@ class Engine:
     """Answers pattern queries over registered event tables.
 
     prefilter: None, "buckets" or "intervals": what prunes events before matching; answers are the same.
+    splits: buckets a window is cut into; 0 chooses by the events of the fullest window, TASK_ROWS a bucket.
     """
 
     spark: SparkSession
@@ -36,6 +41,7 @@ class Engine:
         self.tables: dict[str, EventTable] = {}
         self.schemas: dict[str, CreateTable] = {}
         self.layouts: dict[str, CreateIndex] = {}
+        self._shares: dict[tuple[str, str], dict[str, float]] = {}
 
     def register(self, name: str, df: DataFrame, type_col: str, ts_col: str, seq_col: str, versioned: bool = False, fixed_point: bool = False, scales: dict[str, int] | None = None) -> EventTable:
         """A table of events. versioned: of rows with one type and time only the last written counts."""
@@ -60,6 +66,16 @@ class Engine:
             return None
         return self.count(statement) if statement.count else self.match(statement)
 
+    def write(self, table: str, path: str, mode: str = "append", **how) -> EventTable:
+        """Writes a table and registers what was written: in the layout of its index if it has one, else by type and time.
+
+        With an index, ranges of its attributes skip the row groups that hold none of them.
+        """
+        layout, old = self.layouts.get(table), self.tables[table]
+        write_events(old, path, mode, index=layout.columns if layout else (), **how)
+        self.tables[table] = replace(old, df=self.spark.read.parquet(path))
+        return self.tables[table]
+
     def load(self, table: str, df: DataFrame, seq_col: str = "seq", **how) -> EventTable:
         """Rows of a table that CREATE TABLE declared."""
         schema = self.schemas[table]
@@ -76,26 +92,49 @@ class Engine:
     def matcher(self, query: str | Query) -> Matcher:
         q, table = self._query(query)
         attrs = sorted({r.attr for r in q.ranges} | {s.attr for c in q.compares for s in (c.left, c.right)})
-        return Matcher(table.events(attrs), q.ranges, q.compares, table.window(q.within, q.unit), ANY if q.strategy == STRICT else q.strategy, self.splits, self.arrays)
+        found = Matcher(table.events(attrs), q.ranges, q.compares, table.window(q.within, q.unit), ANY if q.strategy == STRICT else q.strategy, self.splits or 1, self.arrays)
+        return found if self.splits else replace(found, splits=self.splits_for(found, sorted({v.type for path in q.paths for v in path})))
 
-    def path_matches(self, query: str | Query, path: patterns.Path) -> DataFrame:
+    def splits_for(self, matcher: Matcher, types: list[str], rows: int = TASK_ROWS) -> int:
+        """Buckets to cut a window into, so that the events of the fullest one are about `rows`; one number is collected."""
+        at = matcher.events.filter(F.col("_type").isin(types)).groupBy(matching.bucket(F.col("_ts"), max(1, matcher.window)).alias("b")).count()
+        return min(MOST_SPLITS, max(1, math.ceil((at.agg(F.max("count").alias("n")).first()["n"] or 0) / rows)))
+
+    def path_matches(self, query: str | Query, path: patterns.Path, where: dict[str, Column] | None = None) -> DataFrame:
         q, _ = self._query(query)
         m = self.matcher(q)
+        if where:
+            m = replace(m, where=where)
         if q.strategy == STRICT:
             return matching.contiguous(m.events, path, q.ranges, q.compares, m.window)
         if self.prefilter == "buckets" and len(path) > 1:
             m = replace(m, events=pruning.by_buckets(m, path))
         elif self.prefilter == "intervals" and len(path) > 1:
-            shares = {r["var"]: r["selectivity"] for r in statistics.selectivity(m.events, {v.name: v.type for v in path}, q.ranges).collect()}
-            m = replace(m, events=pruning.by_intervals(m, path, pruning.driver(path, shares)))
+            m = replace(m, events=pruning.by_intervals(m, path, pruning.driver(path, self.selectivities(q))))
         return m.run(path)
 
-    def match(self, query: str | Query) -> DataFrame:
-        """path (from 0), and ts and seq of every variable: null where a path lacks it. Paths are a union of bags."""
+    def selectivities(self, query: str | Query) -> dict[str, float]:
+        """The share of events that may bind each variable, one number a variable, computed once a query."""
+        q, table = self._query(query)
+        key = (repr(q), str(id(table.df)))
+        if key not in self._shares:
+            found = statistics.selectivity(self.matcher(q).events, {v.name: v.type for path in q.paths for v in path}, q.ranges)
+            self._shares[key] = {r["var"]: r["selectivity"] for r in found.collect()}
+        return self._shares[key]
+
+    def match(self, query: str | Query, where: dict[str, Column] | None = None, having: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """path (from 0), and ts and seq of every variable: null where a path lacks it. Paths are a union of bags.
+
+        where: by variable, a further condition on the attributes of the events that may bind it (those that the query names,
+        _type, _ts and _seq). having: what becomes of the matches of each path before paths are united.
+        """
         q, _ = self._query(query)
+        if q.strategy == STRICT and where:
+            raise ValueError("strict contiguity takes no further conditions")
         out = None
         for i, path in enumerate(q.paths):
-            found = self.path_matches(q, path).withColumn("path", F.lit(i))
+            found = self.path_matches(q, path, where)
+            found = (having(found) if having else found).withColumn("path", F.lit(i))
             out = found if out is None else out.unionByName(found, allowMissingColumns=True)
         order = [c for v in patterns.variables(q.pattern) for c in out.columns if c.startswith(f"{v.name}__")]
         return out.select("path", *order)
@@ -135,6 +174,30 @@ class Engine:
             out.append({"query": text, "matches": n, "seconds": time.monotonic() - began})
         return out
 
+    def phases(self, query: str | Query) -> dict[str, float]:
+        """Seconds of the phases of a query, one after the other: filter (the time buckets that may hold a match), scan
+        (the events in them, read and kept) and match; and the rows that each gives, paths added up."""
+        q, _ = self._query(query)
+        out = dict.fromkeys(("filter", "scan", "match", "buckets", "events", "matches"), 0)
+        for path in q.paths:
+            m, began = self.matcher(q), time.monotonic()
+            found = pruning.buckets(m, path).persist()
+            events = None
+            try:
+                out["buckets"] += found.count()
+                out["filter"], began = out["filter"] + time.monotonic() - began, time.monotonic()
+                events = pruning.by_buckets(m, path, found).persist()
+                out["events"] += events.count()
+                out["scan"], began = out["scan"] + time.monotonic() - began, time.monotonic()
+                run = matching.contiguous(m.events, path, q.ranges, q.compares, m.window) if q.strategy == STRICT else replace(m, events=events).run(path)
+                out["matches"] += run.count()
+                out["match"] += time.monotonic() - began
+            finally:
+                found.unpersist()
+                if events is not None:
+                    events.unpersist()
+        return out
+
 
 def same_counts(a: list[dict], b: list[dict]) -> list[str]:
     """Queries that two runs answer differently."""

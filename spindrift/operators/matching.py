@@ -5,13 +5,15 @@ event; every event is offered to the buckets that a match holding it may have be
 on the first event's bucket (and on attributes that equalities tie to an earlier variable) with a range condition, and
 all steps of a path use one partitioning: only events are shuffled, never partial matches.
 
-ANY keeps every extension. NEXT keeps the first one of each run: the least (time, sequence), by a pre-aggregated
-minimum. Both follow the total order (time, sequence), so an event binds one variable of a match at most.
+ANY keeps every extension. NEXT keeps the first one of each run: the least (time, sequence). Where no comparison decides
+which event that is, the variables of a path are found in one sorted pass over the candidates of each bucket, in time
+linear in them; where one does, by a join and a pre-aggregated minimum. Both follow the total order (time, sequence), so an
+event binds one variable of a match at most.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +44,7 @@ class Matcher:
     strategy: str = ANY
     splits: int = 1
     arrays: bool = False  # whether variables of loops keep the sequence numbers of all their events
+    where: dict[str, Column] = field(default_factory=dict)  # further conditions on the events that may bind a variable
 
     @property
     def width(self) -> int:
@@ -55,6 +58,7 @@ class Matcher:
         """The events that may bind v: its type and ranges (and comparisons with itself), in the columns v__..."""
         own = [r.column(F.col(r.attr)) for r in self.ranges if r.var == v.name]
         own += [c.column(lambda _, a: F.col(a)) for c in self.compares if c.vars == {v.name}]
+        own += [self.where[v.name]] if v.name in self.where else []
         found = self.events.filter(_all([F.col("_type") == v.type, *own]))
         return found.select(F.col("_ts").alias(name(v.name, "ts")), F.col("_seq").alias(name(v.name, "seq")), *(F.col(a).alias(name(v.name, "a_" + a)) for a in self.attributes(v.name)))
 
@@ -102,9 +106,13 @@ class Matcher:
     def run(self, path: Path) -> DataFrame:
         """The matches of a path: ts and seq of every variable (and k, the number of events, of loops)."""
         first = path[0]
-        out = self._first(first).withColumns({"_start": F.col(name(first.name, "ts")), "_end": F.col(name(first.name, "ts")), "_end_seq": F.col(name(first.name, "seq"))})
-        bound, keys, pending = [first], [name(first.name, "seq")], None
-        for v in path[1:]:
+        plain = self._plain_prefix(path) if self.strategy == NEXT else 1
+        if plain > 1:
+            out = self._chain(path[:plain])
+        else:
+            out = self._first(first).withColumns({"_start": F.col(name(first.name, "ts")), "_end": F.col(name(first.name, "ts")), "_end_seq": F.col(name(first.name, "seq"))})
+        bound, keys, pending = list(path[:plain]), [name(first.name, "seq")], None
+        for v in path[plain:]:
             if v.kind == NOT:
                 pending = v
                 continue
@@ -124,6 +132,61 @@ class Matcher:
         keep = [c for v in bound for c in ([name(v.name, "ts"), name(v.name, "seq")] + ([name(v.name, "k")] if v.kind in (PLUS, STAR) else []) + ([name(v.name, "seqs")] if self.arrays and v.kind in (PLUS, STAR) else []))]
         return out.select(*keep)
 
+    def _key_classes(self, chain: Path) -> list[dict[str, str]] | None:
+        """Attributes by variable that equalities make one key of all of them; None if another comparison is among them."""
+        names = {v.name for v in chain}
+        within = [c for c in self.compares if len(c.vars) == 2 and c.vars <= names]
+        root = self._equal_to(list(chain))
+        classes: dict[tuple[str, str], dict[str, str]] = {}
+        for c in within:
+            if not c.equality:
+                return None
+            for side in (c.left, c.right):
+                at = (side.var, side.attr)
+                if classes.setdefault(root.get(at, at), {}).setdefault(side.var, side.attr) != side.attr:
+                    return None
+        return list(classes.values()) if all(set(x) == names for x in classes.values()) else None
+
+    def _plain_prefix(self, path: Path) -> int:
+        """How many variables a sorted pass can bind: plain ones that nothing but a common key ties to each other."""
+        n = next((i for i, v in enumerate(path) if v.kind != ONE), len(path))
+        while n > 1 and self._key_classes(path[:n]) is None:
+            n -= 1
+        return n
+
+    def _chain(self, chain: Path) -> DataFrame:
+        """The first candidate of each variable after that of the one before, by one shuffle and one sort.
+
+        Read from the latest to the earliest, the last candidate of the next variable is the one that follows. Of the
+        rows of one event, that of a later variable is read after that of an earlier one, and so does not follow it.
+        """
+        classes = self._key_classes(chain) or []
+        rows = None
+        for i, v in enumerate(chain):
+            found = self._offered(v) if i else self._first(v)
+            own = [name(v.name, "ts"), name(v.name, "seq"), *(name(v.name, "a_" + a) for a in self.attributes(v.name))]
+            keys = [F.col(name(v.name, "a_" + x[v.name])).alias(f"_key{k}") for k, x in enumerate(classes)]
+            found = found.select("_of", *keys, F.lit(i).alias("_place"), F.col(own[0]).alias("_at"), F.col(own[1]).alias("_at_seq"), F.struct(*own).alias(f"_own{i}"))
+            rows = found if rows is None else rows.unionByName(found, allowMissingColumns=True)
+        for k in range(len(classes)):
+            rows = rows.filter(F.col(f"_key{k}").isNotNull())
+        order = Window.partitionBy("_of", *(f"_key{k}" for k in range(len(classes)))).orderBy(F.desc("_at"), F.desc("_at_seq"), "_place")
+        follows = order.rowsBetween(Window.unboundedPreceding, -1)
+        last = len(chain) - 1
+        tail = F.struct(F.col(f"_own{last}").alias("own"))
+        for i in range(last - 1, -1, -1):
+            rows = rows.withColumn(f"_next{i}", F.last(F.when(F.col("_place") == i + 1, tail), ignorenulls=True).over(follows))
+            tail = F.struct(F.col(f"_own{i}").alias("own"), F.col(f"_next{i}").alias("next"))
+        start = F.col("_own0")[name(chain[0].name, "ts")]
+        end, path_of = F.col("_next0"), [F.col("_own0")]
+        for i in range(1, len(chain)):
+            path_of.append(end["own"])
+            end = end["next"] if i < last else end
+        end_ts, end_seq = path_of[-1][name(chain[-1].name, "ts")], path_of[-1][name(chain[-1].name, "seq")]
+        found = rows.filter((F.col("_place") == 0) & end_ts.isNotNull() & (end_ts <= start + self.window))
+        each = [own[c].alias(c) for own, v in zip(path_of, chain, strict=True) for c in (name(v.name, "ts"), name(v.name, "seq"), *(name(v.name, "a_" + a) for a in self.attributes(v.name)))]
+        return found.select("_of", *each, start.alias("_start"), end_ts.alias("_end"), end_seq.alias("_end_seq"))
+
     def _extended(self, out: DataFrame, v: Var, bound: list[Var], before: tuple[str, str]) -> DataFrame:
         offered = self._offered(v)
         on = [out["_of"] == offered["_of"], *self._after(v, F.col(before[0]), F.col(before[1]), F.col("_start")), *self._conditions(v, bound)]
@@ -169,10 +232,13 @@ class Matcher:
 def contiguous(events: DataFrame, path: Path, ranges: tuple[Range, ...], compares: tuple[Compare, ...], window: int, by: list[str] = ()) -> DataFrame:
     """Strict contiguity: the variables bind neighbouring events of the table (of each key, if `by` is given).
 
-    Without a key the order is of the whole table, and so is the window's one partition.
+    Neighbours are sought within buckets as wide as the window, each with the events of the next one besides, which hold
+    all that a match beginning in it may bind. So no task orders more than two windows of time.
     """
-    order = Window.partitionBy(*by).orderBy("_ts", "_seq")
-    rows, wanted = events, []
+    width = max(1, window)
+    order = Window.partitionBy(*by, "_of").orderBy("_ts", "_seq")
+    rows = events.withColumn("_b", bucket(F.col("_ts"), width))
+    rows, wanted = rows.withColumn("_of", F.explode(F.array(F.col("_b"), F.col("_b") - 1))), [F.col("_b"), F.col("_of")]
     for i, v in enumerate(path):
         if v.kind != ONE:
             raise ValueError("strict contiguity takes plain variables")
@@ -184,7 +250,7 @@ def contiguous(events: DataFrame, path: Path, ranges: tuple[Range, ...], compare
     tests += [r.column(F.col(name(r.var, "a_" + r.attr))) for r in ranges if r.var in on_path]
     tests += [c.column(lambda var, a: F.col(name(var, "a_" + a))) for c in compares if c.vars <= on_path]
     tests.append(F.col(name(path[-1].name, "ts")) <= F.col(name(path[0].name, "ts")) + window)
-    return rows.select(*wanted).filter(_all(tests)).select(*(name(v.name, x) for v in path for x in ("ts", "seq")))
+    return rows.select(*wanted).filter((F.col("_b") == F.col("_of")) & _all(tests)).select(*(name(v.name, x) for v in path for x in ("ts", "seq")))
 
 
 def subtract(matches: DataFrame, longer: DataFrame, without: str) -> DataFrame:

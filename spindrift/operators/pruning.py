@@ -22,12 +22,11 @@ def intervals(points: DataFrame, window: int, side: str = MIDDLE, ts: str = "ts"
 def islands(spans: DataFrame, width: int) -> DataFrame:
     """Spans (lo, hi), each at most `width` long, merged where they overlap or touch.
 
-    Spans are sorted within stretches of time of 64 widths. A span may reach over the end of its stretch, so islands
-    of neighbouring stretches are joined in a second pass, which has two rows a stretch (its first and last island)
-    and those between unchanged.
+    Spans are sorted within stretches of time of 64 widths. A span reaches over the end of its stretch by a width at
+    most, so only islands at the ends of a stretch may go on in its neighbours. These are merged again in stretches 64
+    times as long, and so on until one holds all; each level has the ends of the one before, a 64th of its time.
     """
     width = max(1, width)
-    part = bucket(F.col("lo"), 64 * width)
 
     def merged(rows: DataFrame, by: list[str]) -> DataFrame:
         order = Window.partitionBy(*by).orderBy("lo", "hi")
@@ -36,11 +35,22 @@ def islands(spans: DataFrame, width: int) -> DataFrame:
         marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return marked.groupBy(*by, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
-    local = merged(spans.select("lo", "hi", part.alias("_part")), ["_part"])
-    edges = Window.partitionBy("_part")
-    local = local.withColumn("_inner", (F.col("lo") > F.min("lo").over(edges)) & (F.col("hi") < F.max("hi").over(edges)))
-    outer = merged(local.filter(~F.col("_inner")).withColumn("_all", F.lit(0)), ["_all"])
-    return outer.select("lo", "hi").unionAll(local.filter("_inner").select("lo", "hi"))
+    ends = spans.agg(F.min("lo").alias("first"), F.max("lo").alias("last")).first()
+    rows, done, stretch = spans.select("lo", "hi"), None, 64 * width
+    while ends["first"] is not None:
+        part = bucket(F.col("lo"), stretch)
+        local = merged(rows.select("lo", "hi", part.alias("_part")), ["_part"])
+        if ends["first"] // stretch == ends["last"] // stretch:
+            rows = local.select("lo", "hi")
+            break
+        inner = (F.col("lo") > F.col("_part") * stretch + width) & (F.col("hi") < (F.col("_part") + 1) * stretch)
+        settled = local.filter(inner).select("lo", "hi")
+        done = settled if done is None else done.unionAll(settled)
+        rows, stretch = local.filter(~inner).select("lo", "hi"), stretch * 64
+        if stretch > 1 << 62:  # the two sides of time zero
+            rows = merged(rows.withColumn("_all", F.lit(0)), ["_all"]).select("lo", "hi")
+            break
+    return rows if done is None else rows.unionAll(done)
 
 
 def _reach(spans: DataFrame, width: int) -> DataFrame:
@@ -87,10 +97,10 @@ def buckets(matcher: Matcher, path: Path) -> DataFrame:
     return found.distinct().groupBy("_bucket").agg(F.count("*").alias("n")).filter(F.col("n") == len(needed)).select("_bucket")
 
 
-def by_buckets(matcher: Matcher, path: Path) -> DataFrame:
-    """The matcher's events in buckets that may hold a match of the path."""
+def by_buckets(matcher: Matcher, path: Path, found: DataFrame | None = None) -> DataFrame:
+    """The matcher's events in buckets that may hold a match of the path (`found`, if those are known)."""
     events = matcher.events.filter(F.col("_type").isin(sorted({v.type for v in path})))
-    return events.withColumn("_bucket", bucket(F.col("_ts"), max(1, matcher.window))).join(buckets(matcher, path), "_bucket", "left_semi").drop("_bucket")
+    return events.withColumn("_bucket", bucket(F.col("_ts"), max(1, matcher.window))).join(buckets(matcher, path) if found is None else found, "_bucket", "left_semi").drop("_bucket")
 
 
 def by_intervals(matcher: Matcher, path: Path, driver: int = 0) -> DataFrame:

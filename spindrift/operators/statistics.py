@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket
@@ -38,7 +38,19 @@ def overlapping(found: DataFrame, type: str, ranges: list[Range], lo: int | None
 
 def sample(events: DataFrame, rows: int = 5_000, seed: int = 0) -> DataFrame:
     """A uniform sample of at most `rows` events, the same for the same seed: the least hashes of the sequence."""
-    return events.orderBy(F.xxhash64(F.col("_seq"), F.lit(seed)), "_seq").limit(rows)
+    return events.orderBy(F.md5(F.concat_ws("|", F.col("_seq").cast("string"), F.lit(str(seed)))), "_seq").limit(rows)
+
+
+def save_rates(rates: DataFrame, path: str) -> None:
+    """Writes arrival rates (_type, n, rate) as one JSON object of types, a row a type being few."""
+    found = rates.select(F.struct("_type", F.struct("n", "rate").alias("s")).alias("e"))
+    found.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_rates(spark: SparkSession, path: str) -> DataFrame:
+    """_type, n and rate, as `save_rates` wrote them."""
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<n: long, rate: double>>")))
+    return found.select(F.col("key").alias("_type"), "value.n", "value.rate")
 
 
 def selectivity(events: DataFrame, variables: dict[str, str], ranges: tuple[Range, ...]) -> DataFrame:

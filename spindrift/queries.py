@@ -203,6 +203,22 @@ def _contiguous(spark: SparkSession, d: str) -> DataFrame:
 
 _add("strict_contiguous_user", _contiguous, f"WITH {_E}, n AS (SELECT *, lead(seq) OVER w AS s2, lead(ts) OVER w AS t2, lead(type) OVER w AS y2, lead(value) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)) SELECT seq AS v1__seq, s2 AS v2__seq FROM n WHERE type = 'view' AND y2 = 'click' AND x2 >= value AND t2 <= ts + {HOUR}")
 
+def _contiguous_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ids(engine(spark, d).match("PATTERN SEQ(view v1, click v2) FROM events USING STRICT_CONTIGUOUS WHERE v2.value >= v1.value WITHIN 1 hour RETURN tuples"))
+
+
+_add("strict_contiguous", _contiguous_all, ORACLES["strict_contiguous_user"].replace("PARTITION BY user_id ", ""))
+
+
+def _where(spark: SparkSession, d: str) -> DataFrame:
+    """Extension points: a condition on one variable's events, and a function of the matches."""
+    e = engine(spark, d)
+    text = _text("SEQ(view v1, click v2)", "v1.value >= 0", "20 minutes")
+    return _ids(e.match(text, {"v1": F.col("value") % 2 < 1}, lambda found: found.filter("v2__seq - v1__seq > 2")))
+
+
+_add("extension_points", _where, _any_sql([("v1", "view", "v1.value % 2 < 1 AND v1.value >= 0"), ("v2", "click", "v2.seq - v1.seq > 2")], HOUR // 3))
+
 # conjunction, disjunction, nesting
 _pattern("and2", _text("AND(view v1, click v2)"), _union_sql([[VIEW, CLICK], [CLICK, VIEW]], ["v1", "v2"]), path=True)
 _pattern("and2_next", _text("AND(view v1, click v2)", strategy="NEXT"), _union_sql([[VIEW, CLICK], [CLICK, VIEW]], ["v1", "v2"], "next"), path=True)
@@ -239,6 +255,11 @@ _pattern("kleene_star", _text("SEQ(view v1, click v2, KS(error n), purchase v3)"
 # pruning
 _pattern("bucket_prefilter", _text("SEQ(view v1, click v2, purchase v3)", "v1.value <= 10 AND v3.value >= 60"), _any_sql([("v1", "view", "v1.value <= 10"), CLICK, ("v3", "purchase", "v3.value >= 60")]), prefilter="buckets")
 _pattern("interval_prefilter", _text("SEQ(view v1, click v2, purchase v3)", "v1.value <= 10 AND v3.value >= 60"), _any_sql([("v1", "view", "v1.value <= 10"), CLICK, ("v3", "purchase", "v3.value >= 60")]), prefilter="intervals")
+_NEG, _KP = _text("SEQ(view v1, NEG(error n), click v2)", strategy="NEXT"), _text("SEQ(view v1, click v2, KP(error n), purchase v3)", strategy="NEXT")
+for _mode in ("buckets", "intervals"):
+    _pattern(f"neg_{_mode}", _NEG, ORACLES["neg_between"], prefilter=_mode)
+    _pattern(f"kleene_plus_{_mode}", _KP, ORACLES["kleene_plus"], prefilter=_mode)
+    _pattern(f"kleene_star_{_mode}", _KP.replace("KP", "KS"), ORACLES["kleene_star"], prefilter=_mode)
 _pattern("or_prefilter", _text("SEQ(view v1, OR(click v2, purchase v3))", "v1.value <= 5"), _union_sql([[("v1", "view", "v1.value <= 5"), CLICK], [("v1", "view", "v1.value <= 5"), BUY]], ["v1", "v2", "v3"]), path=True, prefilter="buckets")
 
 
@@ -303,7 +324,7 @@ _add("arrival_rates", lambda spark, d: statistics.arrival_rates(engine(spark, d)
 _add("cluster_synopsis", lambda spark, d: statistics.synopsis(engine(spark, d).tables["events"].events(["value"]), ["value"], 1024).withColumnRenamed("_type", "type"), f"WITH {_E} SELECT seq // 1024 AS block, type, count(*) AS n, min(ts) AS min_ts, max(ts) AS max_ts, min(value) AS min_value, max(value) AS max_value FROM e GROUP BY ALL")
 _add("related_clusters", lambda spark, d: statistics.overlapping(statistics.synopsis(engine(spark, d).tables["events"].events(["value"]), ["value"], 64), "error", list(parse(_text("SEQ(error v1)", "95 <= v1.value")).ranges)).select("block", "n"), f"WITH {_E} SELECT seq // 64 AS block, count(*) AS n FROM e WHERE type = 'error' GROUP BY 1 HAVING max(value) >= 95")
 _add("selectivity", lambda spark, d: statistics.selectivity(engine(spark, d).tables["events"].events(["value"]), {"v1": "view", "v2": "click"}, parse(_text("SEQ(view v1, click v2)", "10 <= v1.value <= 50 AND v2.value > 20")).ranges).select("var", F.round("selectivity", 9).alias("selectivity")), f"WITH {_E} SELECT 'v1' AS var, round(count(*) FILTER (type = 'view' AND value BETWEEN 10 AND 50) / count(*), 9) AS selectivity FROM e UNION ALL SELECT 'v2', round(count(*) FILTER (type = 'click' AND value > 20) / count(*), 9) FROM e")
-_add("reservoir_sample", lambda spark, d: statistics.sample(engine(spark, d).tables["events"].events(["value"]), 5000), None)
+_add("reservoir_sample", lambda spark, d: statistics.sample(engine(spark, d).tables["events"].events(["value"]), 5000).select(F.col("_seq").alias("seq"), F.col("_type").alias("type"), "value"), f"WITH {_E} SELECT seq, type, value FROM e ORDER BY md5(seq || '|0'), seq LIMIT 5000")
 
 # updates, deletes, order of arrival
 _VERSIONS = "v AS (SELECT event_id AS seq, date_trunc('hour', ts) AS ts, event_type AS type, user_id, value FROM events)"
@@ -367,6 +388,8 @@ _add(
 def _folder(spark: SparkSession) -> str:
     """A folder that all machines share: in the one that the cluster names, one of our own only where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
     return f"{named or tempfile.mkdtemp(prefix='spindrift-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -390,6 +413,28 @@ def _stream_next(spark: SparkSession, d: str) -> DataFrame:
 _add("stream_seq_next", _stream_next, _next_sql([VIEW, ("v2", "click", "v2.value >= v1.value AND v2.user_id = v1.user_id"), ("v3", "purchase", "v3.user_id = v1.user_id")], 24 * HOUR))
 
 
+def _stream_of(pattern: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        folder = _folder(spark)
+        q = parse(_text(pattern, "", "24 hours", "NEXT"))
+        found = streams.match_stream(_stream(spark, d, folder), "user_id", q.paths[0], q.ranges, q.compares, 24 * HOUR, NEXT)
+        return _ids(streams.collected(found, folder, "matches"))
+
+    return run
+
+
+_SAME_USER, _DAY = "user_id = v1.user_id", 24 * HOUR
+_user_ctes, _user_last = _next_ctes([VIEW, ("v2", "click", f"v2.{_SAME_USER}")], _DAY)
+_after_last = "(x.ts > coalesce(l.lts, l.v2.ts) OR x.ts = coalesce(l.lts, l.v2.ts) AND x.seq > coalesce(l.lseq, l.v2.seq))"
+_USER_PLUS = (
+    f"WITH {_E}, {_user_ctes}, looped AS (SELECT s.v1, s.v2, x.ts AS lts, x.seq AS lseq, row_number() OVER (PARTITION BY s.v1.seq ORDER BY x.ts, x.seq) AS k FROM {_user_last} s JOIN e x ON x.type = 'error' AND x.user_id = s.v1.user_id AND (x.ts > s.v2.ts OR x.ts = s.v2.ts AND x.seq > s.v2.seq) AND x.ts <= s.v1.ts + {_DAY}@more@), "
+    f"done AS (SELECT any_value(l.v1.seq) AS v1__seq, any_value(l.v2.seq) AS v2__seq, any_value(l.lseq) AS n__seq, l.k AS n__k, min({{'ts': x.ts, 'seq': x.seq}}).seq AS v3__seq FROM looped l JOIN e x ON x.type = 'purchase' AND x.user_id = l.v1.user_id AND {_after_last} AND x.ts <= l.v1.ts + {_DAY} GROUP BY l.v1.seq, l.k) SELECT * FROM done"
+)
+_add("stream_kleene_plus", _stream_of("SEQ(view v1, click v2, KP(error n), purchase v3)"), _USER_PLUS.replace("@more@", ""))
+_add("stream_kleene_star", _stream_of("SEQ(view v1, click v2, KS(error n), purchase v3)"), _USER_PLUS.replace("@more@", f" UNION ALL SELECT v1, v2, NULL, NULL, 0 FROM {_user_last}"))
+_add("stream_neg", _stream_of("SEQ(view v1, NEG(error n), click v2)"), f"WITH {_E}, {_user_ctes}, flat AS (SELECT v1, v2 FROM {_user_last}) SELECT v1.seq AS v1__seq, v2.seq AS v2__seq FROM flat WHERE {_GAP.format(a='v1', b='v2').replace('x.type', 'x.user_id = v1.user_id AND x.type')}")
+
+
 def _stream_pairs(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     side = lambda t: _stream(spark, d, f"{folder}/{t}").filter(F.col("_type") == t).select(F.col("_time").alias("time"), F.col("_seq").alias("seq"))

@@ -83,11 +83,13 @@ def with_sequence(df: DataFrame, order: list[str], seq: str = "seq") -> DataFram
 def read_csv(spark: SparkSession, path: str, table: CreateTable, header: bool = True, seq: str = "seq") -> DataFrame:
     """Events from CSV (also gzipped), columns in the order of the declaration; a field that cannot be read is null.
 
-    The sequence is the place in the file: rows get it from file offsets, which Spark's ids keep in order.
+    The sequence is the place of a row: by file name, by offset of the split it was read in, and within that by Spark's
+    ids, which follow a split's rows. It does not depend on how splits are dealt to tasks.
     """
     raw = spark.read.csv(path, header=header, schema=T.StructType([T.StructField(n, T.StringType()) for n, _ in table.columns]), enforceSchema=True)
-    typed = raw.select(*(F.trim(F.col(n)).try_cast(_KINDS[k]).alias(n) for n, k in table.columns))
-    return typed.withColumn(seq, F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_offset"), F.monotonically_increasing_id().alias("_line")]
+    typed = raw.select(*(F.trim(F.col(n)).try_cast(_KINDS[k]).alias(n) for n, k in table.columns), *place)
+    return with_sequence(typed, ["_file", "_offset", "_line"], seq).drop("_file", "_offset", "_line")
 
 
 def to_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,12 +97,12 @@ def to_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value"))
 
 
-def write_events(table: EventTable, path: str, mode: str = "append", partitions: int | None = None, by_type: bool = False) -> None:
-    """Writes a table for pattern queries: sorted by type and time, so that row-group statistics skip what a query
-    does not need, with delta encodings for time and sequence."""
-    order = [table.type_col, table.ts_col]
+def write_events(table: EventTable, path: str, mode: str = "append", partitions: int | None = None, by_type: bool = False, index: tuple[str, ...] = ()) -> None:
+    """Writes a table for pattern queries: sorted by type and time, or by type and the attributes of an index, so that
+    row-group statistics skip what a query does not need, with delta encodings for time and sequence."""
+    order = [table.type_col, *(index or (table.ts_col,))]
     df = table.df.repartitionByRange(partitions, *order) if partitions else table.df.repartitionByRange(*order)
-    writer = df.sortWithinPartitions(*order, table.seq_col).write.mode(mode).option("parquet.writer.version", "v2").option("compression", "zstd")
+    writer = df.sortWithinPartitions(*order, *((table.ts_col,) if index else ()), table.seq_col).write.mode(mode).option("parquet.writer.version", "v2").option("compression", "zstd")
     (writer.partitionBy(table.type_col) if by_type else writer).parquet(path)
 
 

@@ -1,7 +1,8 @@
 """Pattern matching over streams, with the answers of the batch engine.
 
 Events arrive in any order; each key's events wait in state until the watermark has passed them and are then matched
-in the order (time, sequence). Runs that the window has left behind are dropped. An event that comes later than the
+in the order (time, sequence). Runs that the window has left behind are dropped. Patterns with loops or negations
+give the matches of an event when its window is over. An event that comes later than the
 watermark allows is left out, as in any event-time aggregation.
 """
 
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import bucket
-from ..operators.keyed import Runs
+from ..operators.keyed import Runs, Windows, result_columns, result_row
 from ..plans.parser import ANY
-from ..plans.patterns import Path
+from ..plans.patterns import ONE, Path
 from ..plans.predicates import Compare, Range
 
 #: The type of an event that binds nothing: sent after the last one, it lets the watermark pass all others.
@@ -31,7 +32,7 @@ def match_stream(events: DataFrame, key: str, path: Path, ranges: tuple[Range, .
     events: _type, _time (timestamp), _seq, the key and attributes; window in microseconds. Without a key of the data,
     a constant column serves, and the stream is matched in one place.
     """
-    names = [f"{v.name}__{x}" for v in path for x in ("ts", "seq")]
+    names, plain = result_columns(path), all(v.kind == ONE for v in path)
     kind = events.schema[key].dataType.simpleString()
     types = sorted({v.type for v in path})
 
@@ -42,16 +43,24 @@ def match_stream(events: DataFrame, key: str, path: Path, ranges: tuple[Range, .
             waiting += [e for e in frame.to_dict("records") if e["_type"] in types and e["_ts"] // 1000 > passed]
         ready = sorted((e for e in waiting if e["_ts"] // 1000 <= watermark), key=lambda e: (e["_ts"], e["_seq"]))
         waiting = [e for e in waiting if e["_ts"] // 1000 > watermark]
-        matcher = Runs(path, ranges, compares, window, strategy, runs)
-        out = [(keys[0], *(e[x] for e in m for x in ("_ts", "_seq"))) for event in ready for m in matcher.feed(event)]
-        open_runs = [r for r in matcher.runs if (r[0]["_ts"] + window) // 1000 >= watermark]
+        if plain:
+            matcher = Runs(path, ranges, compares, window, strategy, runs)
+            out = [(keys[0], *(e[x] for e in m for x in ("_ts", "_seq"))) for event in ready for m in matcher.feed(event)]
+            open_runs = [r for r in matcher.runs if (r[0]["_ts"] + window) // 1000 >= watermark]
+            ends = [(r[0]["_ts"] + window) // 1000 for r in open_runs]
+        else:
+            matcher = Windows(path, ranges, compares, window, strategy, runs)
+            found = [m for event in ready for m in matcher.feed(event)] + matcher.passed(watermark * 1000)
+            out, open_runs = [(keys[0], *result_row(path, m)) for m in found], matcher.events
+            ends = [(e["_ts"] + window) // 1000 for e in open_runs if e["_open"]]
         if waiting or open_runs:
             state.update((pickle.dumps((waiting, open_runs, max(passed, watermark))),))
-            due = min([e["_ts"] // 1000 for e in waiting] + [(r[0]["_ts"] + window) // 1000 for r in open_runs])
+            due = min([e["_ts"] // 1000 for e in waiting] + ends)
             state.setTimeoutTimestamp(max(due, watermark) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, *names])
+        if out:  # Arrow takes no string key from a frame without rows
+            yield pd.DataFrame(out, columns=[key, *names]).astype({n: "Int64" for n in names})
 
     marked = events.withWatermark("_time", delay).withColumn("_ts", F.unix_micros("_time"))
     return marked.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` long" for n in names), "state binary", "append", GroupStateTimeout.EventTimeTimeout)
