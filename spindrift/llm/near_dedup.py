@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData, Observation
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, split_by_keys
@@ -45,6 +45,8 @@ POSITIONS = TREES * BASE
 SKETCH_TILE = 4096
 #: Keys over which the members of one family are spread where they meet its largest component.
 SALTS = 64
+#: Links that one task settles, in some 100 MB; more are shrunk by distributed rounds first.
+SETTLED = 1 << 20
 #: Rounds of `components` that go by the nodes' own order.
 PLAIN_ROUNDS = 6
 #: Probability with which the sketches of a pair of just the similarity sought may hide it: what the forest misses too.
@@ -314,47 +316,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long")
 
 
-def _gathered(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """df, written to the shared folder and read in as many partitions as its count asks for.
+def _gathered_rows(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """df, written to the shared folder and read in as many partitions as its count asks for, and that count.
 
     What is left after the forest is a small part of the input; spread over as many tasks as the input, its many joins
-    would leave more file heads than rows.
+    would leave more file heads than rows. Rows are counted as they are written, without a job of its own.
     """
-    out = checkpointed(df)
-    return out.coalesce(max(1, -(-out.count() // rows)))
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
+def _gathered(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    return _gathered_rows(df, rows)[0]
+
+
+def _settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links (a, b) and the smallest node that can be reached from it.
+
+    Trees of nodes, each under a smaller one: links hang the root of one tree under that of another, and paths are
+    shortened until every node is right under its root.
+    """
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        one, other = root[x], root[y]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[root]
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that can be reached) of every node of the links (a, b).
 
-    Each round sends every node to the first of itself and its neighbours, and goes on with the links between
-    different ones. First means smallest, which settles families in a few rounds; after PLAIN_ROUNDS
-    rounds, smallest by a hash of its own, so that long chains in order shrink by a share each time too. Rounds end
-    when no link is left.
+    Up to SETTLED links are settled by one task. While there are more, each round sends every node to the first of
+    itself and its neighbours, and goes on with the links between different ones. First means smallest, which settles
+    families in a few rounds; after PLAIN_ROUNDS rounds, smallest by a hash of its own, so that long chains in order
+    shrink by a share each time too.
     """
-    edges = _gathered(links.filter("a != b").select("a", "b"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = list(batches)
+        if any(map(len, kept)):
+            nodes, root = _settled(*(np.concatenate([x[c].to_numpy(np.int64) for x in kept]) for c in "ab"))
+            yield pd.DataFrame({"node": nodes, "root": root})
+
+    edges, left = _gathered_rows(links.filter("a != b").select("a", "b"))
     roots, number = None, 0
-    while not edges.isEmpty():
+    while left > SETTLED:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = (lambda c: F.xxhash64(F.lit(number), c)) if number >= PLAIN_ROUNDS else (lambda c: F.col(c))  # noqa: B023, E731
         least = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("m"))).alias("x"))
         step = _gathered(least.select("node", F.when(F.col("x.r") < rank("node"), F.col("x.m")).otherwise(F.col("node")).alias("to")))
-        if roots is None:
-            roots = step.select("node", F.col("to").alias("root"))
-        else:
-            moved = step.select(F.col("node").alias("root"), "to")
-            roots = _gathered(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        left, right = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = _gathered(edges.join(left, "a").join(right, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        roots = step.select("node", F.col("to").alias("root")) if roots is None else _moved(roots, step.select("node", F.col("to").alias("root")))
+        x, y = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        edges, left = _gathered_rows(edges.join(x, "a").join(y, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         number += 1
+    settled = _gathered(edges.coalesce(1).mapInPandas(settle, "node long, root long"))
     if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return settled
+    roots = _moved(roots, settled)
     if number <= PLAIN_ROUNDS:
         return roots  # the smallest already
     smallest = roots.groupBy("root").agg(F.min("node").alias("least"))
     return _gathered(roots.join(smallest, "root").select("node", F.col("least").alias("root")))
 
 
+def _moved(roots: DataFrame, step: DataFrame) -> DataFrame:
+    """roots whose own roots, as nodes of step, have a root there."""
+    return _gathered(roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of different components, with their roots."""
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
@@ -366,8 +403,7 @@ def _joined(roots: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
     """roots after further links among `pairs`, which know the roots of their ends."""
     between = links.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     more = components(between)
-    known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return _gathered(known.unionAll(more.join(roots, "node", "left_anti")))
+    return _gathered(_moved(roots, more).unionAll(more.join(roots, "node", "left_anti")))
 
 
 def _counted(each: DataFrame) -> DataFrame:
@@ -448,7 +484,7 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     classes = checkpointed(classes.withColumn("nid", F.monotonically_increasing_id()))
     found = checkpointed(_neighbours(_branches(classes), bits))
     pairs = _gathered(found.filter("region IS NULL").groupBy("a", "b").agg(F.min("apart").alias("apart")))
-    members = _gathered(found.filter("region IS NOT NULL").select("region", F.col("a").alias("nid"), "s0", "s1"))
+    members, dense = _gathered_rows(found.filter("region IS NOT NULL").select("region", F.col("a").alias("nid"), "s0", "s1"))
 
     involved = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select(F.col("b").alias("nid"))).distinct()
     sets = _gathered(_sets(documents, classes, involved, words), 5_000)
@@ -460,7 +496,7 @@ def dedup(documents: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     tried = _gathered(_across(pairs.select("a", "b"), roots))
     roots = _joined(roots, _confirmed(tried.select("a", "b"), sets, similarity), tried)
 
-    if not members.isEmpty():
+    if dense:
         rest = _gathered(_left_over(members, roots, lambda nids: _gathered(_sets(documents, classes, nids, words), 5_000), bits, similarity))
         roots = _joined(roots, rest.select("a", "b"), rest)
 

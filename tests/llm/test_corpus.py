@@ -124,10 +124,22 @@ def test_near_copies_odd(spark):
     assert near_dedup.dedup(frame(spark, ODD).limit(0)).count() == 0
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (102, 103), (7, 7)]
-    out = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {out[i] for i in range(41)} == {0} and {out[i] for i in range(100, 104)} == {100}
+def test_components(spark, monkeypatch):
+    """In one task, by rounds alone (plain ones, then hashed ones), and by a few rounds before one task."""
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (102, 103), (7, 7), (1, 0)] + [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)]
+    reach = {}
+    for a, b in links:
+        if a != b:
+            both = reach.get(a, {a}) | reach.get(b, {b})
+            reach |= dict.fromkeys(both, both)
+    for settled, plain in ((1 << 20, 6), (0, 6), (0, 1), (12, 1), (50, 6)):
+        monkeypatch.setattr(near_dedup, "SETTLED", settled)
+        monkeypatch.setattr(near_dedup, "PLAIN_ROUNDS", plain)
+        out = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(out) == len(reach)
+        assert {r.node: r.root for r in out} == {n: min(x) for n, x in reach.items()}
+    assert near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
 def test_targets(spark):
