@@ -1,5 +1,5 @@
 """From raw documents to token ids: toxic documents go, one of each group of near copies stays, personal data is
-masked, sources are mixed to their weights, and what is left is encoded.
+masked, sources are mixed to their weights, and what is left is encoded (ids, with digests of them and of their decoding).
 
 Each stage works on all that the one before kept. Between stages the rows are written to the shared folder and read
 again, so a lost executor costs one stage at most.
@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_table(docs)
+    return byte_bpe.encode_table(docs, ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

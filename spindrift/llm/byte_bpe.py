@@ -248,23 +248,29 @@ def decoder(spark: SparkSession, vocabulary: str = VOCABULARY):
     return F.pandas_udf(decode, "binary")
 
 
-def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN):
-    """A function of a text column: n_tokens, ids_sha256 and decoded_sha256 of its ids and of what they decode to."""
-    shared = _shared(spark, vocabulary)
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ids: bool = False):
+    """A function of a text column: n_tokens, ids_sha256 and decoded_sha256 of its ids and of what they decode to, and,
+    where asked for, the ids themselves (array of int)."""
+    shared, schema = _shared(spark, vocabulary), DIGESTS + ", ids array<int>" * ids
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared.value, pattern)
         for batch in batches:
             rows = []
-            for ids in codec.encode_batch(x or "" for x in batch):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            for found in codec.encode_batch(x or "" for x in batch):
+                row = (len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(codec.decode(found)).hexdigest())
+                rows.append((*row, np.frombuffer(found, "<i4")) if ids else row)
+            yield pd.DataFrame(rows, columns=columns)
         codec.clear()  # an idle worker holds no pre-tokens
 
-    return F.pandas_udf(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return F.pandas_udf(digest, schema)
 
 
-def encode_table(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    f = digests(documents.sparkSession, vocabulary)
-    return small_batches(documents).select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+def encode_table(documents: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and, where asked for, its ids."""
+    f = digests(documents.sparkSession, vocabulary, ids=ids)
+    return small_batches(documents).select("doc_id", f(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")

@@ -310,6 +310,8 @@ def test_pipeline(spark):
     """The stages by plain Python: what goes, what stays, what is masked, how often each document comes."""
     import hashlib
 
+    import numpy as np
+
     import corpus_pipeline as p
     from spindrift.llm import pii, toxicity
     from spindrift.llm.common import table
@@ -323,6 +325,7 @@ def test_pipeline(spark):
     out, seen = p.run(spark, SF).collect(), defaultdict(list)
     for r in out:
         seen[r.doc_id].append(r.decoded_sha256)
+        assert len(r.ids) == r.n_tokens and hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256
     assert set(seen) <= set(masked) and all(set(v) == {hashlib.sha256(masked[i].encode()).hexdigest()} and len(v) <= 3 for i, v in seen.items())
     size = lambda t: len(t.encode().split())
     total, taken = sum(map(size, masked.values())), sum(size(masked[i]) * len(v) for i, v in seen.items())
