@@ -33,7 +33,7 @@ SPAN = 8
 #: Pre-tokens whose ids a worker remembers, and the longest that it remembers.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Characters of the texts whose pre-tokens are merged in one queue; a longer text has a queue of its own.
-TOGETHER = 1_000_000
+TOGETHER = 250_000
 _LOW, _BITS = (1 << SPAN) - 1, [1 << i for i in range(1 << SPAN)]
 
 
