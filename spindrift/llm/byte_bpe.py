@@ -32,6 +32,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPAN = 8
 #: Pre-tokens whose ids a worker remembers, and the longest that it remembers.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 #: Characters of the texts whose pre-tokens are merged in one queue; a longer text has a queue of its own.
 TOGETHER = 250_000
 _LOW, _BITS = (1 << SPAN) - 1, [1 << i for i in range(1 << SPAN)]
@@ -155,7 +157,11 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         super().__init__()
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
         self.split = regex.compile(pattern).findall
         self.merges = Merges(ranks)
 
@@ -202,7 +208,16 @@ class Codec(dict):
         yield from self.encode_all(held)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of ids; one that is no token's raises IndexError."""
+        found = np.frombuffer(ids, "<u4")
+        return b"".join(self._decode(found[i : i + DECODED]) for i in range(0, len(found), DECODED))
+
+    def _decode(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        if not sizes.all():
+            raise IndexError("an id without a token")
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
 _codecs: dict[int, Codec] = {}

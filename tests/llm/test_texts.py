@@ -391,3 +391,11 @@ def test_pii_far_context():
     for gap in (" ", " " * 500, "\n" * 90, " " + "y" * 300 + " "):
         text = f"token{gap}24be64439e3e49cf46b2d7c90f3602a3d0b907ff and so on"
         assert pii.added_spans([text], crf) == pii.added_spans([text], whole)
+
+
+def test_bpe_refuses_ids_without_tokens():
+    codec = byte_bpe.Codec({b"a": 0, b"b": 3, b"ab": 5})
+    assert codec.decode(np.array([5, 3, 0], "<u4").tobytes()) == b"abba" and codec.decode(b"") == b""
+    for wrong in (1, 6):
+        with pytest.raises(IndexError):
+            codec.decode(np.array([0, wrong], "<u4").tobytes())
