@@ -30,7 +30,8 @@ from .common import small_batches
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Ranks that share one word of the lower bitmap, as a power of two.
 SPAN = 8
-#: Pre-tokens whose ids a worker remembers, and the longest that it remembers.
+#: New pre-tokens whose ids a worker takes up before it forgets those it has not met since as many before, and the
+#: longest that it remembers: 800,000 of 64 characters at most.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Ids that are decoded at once.
 DECODED = 1 << 16
@@ -152,11 +153,13 @@ class Merges:
 
 
 class Codec(dict):
-    """Encodes and decodes; as a dictionary, the bytes of the ids of pre-tokens seen lately."""
+    """Encodes and decodes; as a dictionary, the bytes of the ids of pre-tokens seen lately. `older` holds those that
+    were seen before: one that is met again is seen lately, the others go when as many have come."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
         self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
@@ -167,8 +170,12 @@ class Codec(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Takes up the ids of pre-tokens that are not known yet: one token if there is such a one, else by the queue."""
-        merged = []
+        merged, older = [], self.older.get
         for piece in pieces:
+            known = older(piece)
+            if known is not None:
+                self[piece] = known
+                continue
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is None:
@@ -190,6 +197,7 @@ class Codec(dict):
                 if len(piece) > REMEMBERED_CHARS:
                     del self[piece]
             if len(self) > REMEMBERED:
+                self.older = dict(self)
                 self.clear()
         return list(map(b"".join, found))
 
@@ -207,6 +215,10 @@ class Codec(dict):
             size += len(text)
         yield from self.encode_all(held)
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; one that is no token's raises IndexError."""
         found = np.frombuffer(ids, "<u4")
@@ -246,7 +258,7 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
         codec = _codec(shared.value, pattern)
         for batch in batches:
             yield pd.Series([np.frombuffer(ids, "<i4") for ids in codec.encode_batch(x or "" for x in batch)])
-        codec.clear()
+        codec.forget()
 
     return F.pandas_udf(encode, "array<int>")
 
@@ -268,7 +280,11 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ids: bool = False):
     """A function of a text column: n_tokens, ids_sha256 and decoded_sha256 of its ids and of what they decode to, and,
-    where asked for, the ids themselves (array of int)."""
+    where asked for, the ids themselves (array of int).
+
+    Without ids, workers know between their tasks the pre-tokens that they have met; with ids, whose batches are far
+    larger, a worker forgets them at the end of each task.
+    """
     shared, schema = _shared(spark, vocabulary), DIGESTS + ", ids array<int>" * ids
     columns = [x.split()[0] for x in schema.split(", ")]
 
@@ -280,7 +296,8 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
                 row = (len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(codec.decode(found)).hexdigest())
                 rows.append((*row, np.frombuffer(found, "<i4")) if ids else row)
             yield pd.DataFrame(rows, columns=columns)
-        codec.clear()  # an idle worker holds no pre-tokens
+        if ids:
+            codec.forget()
 
     return F.pandas_udf(digest, schema)
 

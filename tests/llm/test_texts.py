@@ -393,6 +393,24 @@ def test_pii_far_context():
         assert pii.added_spans([text], crf) == pii.added_spans([text], whole)
 
 
+def test_bpe_forgets_what_it_has_not_met_lately(monkeypatch):
+    """A worker with room for few pre-tokens gives the same ids, and decodes by small blocks."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 200)
+    monkeypatch.setattr(byte_bpe, "DECODED", 7)
+    ranks = byte_bpe.read_ranks(open(byte_bpe.VOCABULARY, "rb").read())
+    own, codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), byte_bpe.Codec(ranks)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinorstß") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(words[min(int(rng.paretovariate(0.5)), 399)] for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    found = list(codec.encode_batch(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == own.encode_ordinary_batch(texts)
+    assert [codec.decode(x).decode() for x in found] == texts
+    assert 0 < len(codec.older) < 200 and len(codec) < 200
+    codec.forget()
+    assert not codec and not codec.older
+
+
 def test_bpe_refuses_ids_without_tokens():
     codec = byte_bpe.Codec({b"a": 0, b"b": 3, b"ab": 5})
     assert codec.decode(np.array([5, 3, 0], "<u4").tobytes()) == b"abba" and codec.decode(b"") == b""
