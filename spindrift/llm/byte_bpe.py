@@ -156,8 +156,9 @@ class Codec(dict):
     """Encodes and decodes; as a dictionary, the bytes of the ids of pre-tokens seen lately. `older` holds those that
     were seen before: one that is met again is seen lately, the others go when as many have come."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, room: int | None = None):
         super().__init__()
+        self.room = REMEMBERED if room is None else room
         self.ranks = ranks
         self.older: dict[str, bytes] = {}
         self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
@@ -196,7 +197,7 @@ class Codec(dict):
             for piece in new:
                 if len(piece) > REMEMBERED_CHARS:
                     del self[piece]
-            if len(self) > REMEMBERED:
+            if len(self) > self.room:
                 self.older = dict(self)
                 self.clear()
         return list(map(b"".join, found))
@@ -235,12 +236,12 @@ class Codec(dict):
 _codecs: dict[int, Codec] = {}
 
 
-def _codec(content: bytes, pattern: str) -> Codec:
+def _codec(content: bytes, pattern: str, room: int | None = None) -> Codec:
     """The codec of this worker, which later tasks use again."""
-    key = hash((zlib.crc32(content), pattern))
+    key = hash((zlib.crc32(content), pattern, room))
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(read_ranks(content), pattern)
+        _codecs[key] = Codec(read_ranks(content), pattern, room)
     return _codecs[key]
 
 
@@ -255,7 +256,7 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     shared = _shared(spark, vocabulary)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, REMEMBERED // 2)
         for batch in batches:
             yield pd.Series([np.frombuffer(ids, "<i4") for ids in codec.encode_batch(x or "" for x in batch)])
         codec.forget()
@@ -283,13 +284,13 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     where asked for, the ids themselves (array of int).
 
     Without ids, workers know between their tasks the pre-tokens that they have met; with ids, whose batches are far
-    larger, a worker forgets them at the end of each task.
+    larger, a worker remembers half as many and forgets them at the end of each task.
     """
     shared, schema = _shared(spark, vocabulary), DIGESTS + ", ids array<int>" * ids
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, REMEMBERED // 2 if ids else None)
         for batch in batches:
             rows = []
             for found in codec.encode_batch(x or "" for x in batch):
