@@ -8,7 +8,8 @@ all steps of a path use one partitioning: only events are shuffled, never partia
 ANY keeps every extension. NEXT keeps the first one of each run: the least (time, sequence). Where no comparison decides
 which event that is, the variables of a path are found in one sorted pass over the candidates of each bucket, in time
 linear in them; where one does, by a join and a pre-aggregated minimum. Both follow the total order (time, sequence), so an
-event binds one variable of a match at most.
+event binds one variable of a match at most. A loop that no comparison touches is numbered in such a pass too, and each of its
+events knows what follows it, so matches are written as pairs of a beginning and a last event, which nothing sorts again.
 """
 
 from __future__ import annotations
@@ -54,12 +55,15 @@ class Matcher:
         """Attributes of a variable that comparisons need."""
         return sorted({side.attr for c in self.compares for side in (c.left, c.right) if side.var == var})
 
-    def candidates(self, v: Var) -> DataFrame:
-        """The events that may bind v: its type and ranges (and comparisons with itself), in the columns v__..."""
+    def _own(self, v: Var) -> list[Column]:
+        """The conditions on the events of one variable alone."""
         own = [r.column(F.col(r.attr)) for r in self.ranges if r.var == v.name]
         own += [c.column(lambda _, a: F.col(a)) for c in self.compares if c.vars == {v.name}]
-        own += [self.where[v.name]] if v.name in self.where else []
-        found = self.events.filter(_all([F.col("_type") == v.type, *own]))
+        return own + ([self.where[v.name]] if v.name in self.where else [])
+
+    def candidates(self, v: Var) -> DataFrame:
+        """The events that may bind v: its type and ranges (and comparisons with itself), in the columns v__..."""
+        found = self.events.filter(_all([F.col("_type") == v.type, *self._own(v)]))
         return found.select(F.col("_ts").alias(name(v.name, "ts")), F.col("_seq").alias(name(v.name, "seq")), *(F.col(a).alias(name(v.name, "a_" + a)) for a in self.attributes(v.name)))
 
     def _offered(self, v: Var) -> DataFrame:
@@ -105,6 +109,8 @@ class Matcher:
 
     def run(self, path: Path) -> DataFrame:
         """The matches of a path: ts and seq of every variable (and k, the number of events, of loops)."""
+        if self._loop_place(path):
+            return self._looped(path, self._loop_place(path))
         first = path[0]
         plain = self._plain_prefix(path) if self.strategy == NEXT else 1
         if plain > 1:
@@ -187,6 +193,66 @@ class Matcher:
         each = [own[c].alias(c) for own, v in zip(path_of, chain, strict=True) for c in (name(v.name, "ts"), name(v.name, "seq"), *(name(v.name, "a_" + a) for a in self.attributes(v.name)))]
         return found.select("_of", *each, start.alias("_start"), end_ts.alias("_end"), end_seq.alias("_end_seq"))
 
+    def _loop_place(self, path: Path) -> int:
+        """The place of the one loop of a path that sorted passes can match under NEXT: all other variables are plain and no
+        comparison ties two of them. 0 if there is none."""
+        names = {v.name for v in path}
+        loops = [i for i, v in enumerate(path) if v.kind in (PLUS, STAR)]
+        tied = any(len(c.vars) == 2 and c.vars <= names for c in self.compares)
+        if self.strategy != NEXT or self.arrays or tied or len(loops) != 1 or any(v.kind == NOT for v in path):
+            return 0
+        return loops[0]
+
+    def _placed(self, path: Path) -> DataFrame:
+        """_at, _at_seq, _place and _of: each event at every place of the path that it may bind, in each bucket that its
+        match may have begun in; one scan."""
+        reach = self.splits if self.window else 0
+        fits = [_all([F.col("_type") == v.type, *self._own(v)]) for v in path]
+        at = bucket(F.col("_ts"), self.width)
+        places = [F.when(fit, F.struct(F.lit(i).alias("place"), (at - back).alias("of"))) for i, fit in enumerate(fits) for back in range(1 + (reach if i else 0))]
+        rows = self.events.filter(reduce(lambda a, b: a | b, fits)).select(F.col("_ts").alias("_at"), F.col("_seq").alias("_at_seq"), F.explode(F.array(*places)).alias("_p"))
+        return rows.filter(F.col("_p").isNotNull()).select("_at", "_at_seq", F.col("_p.place").alias("_place"), F.col("_p.of").alias("_of"))
+
+    def _looped(self, path: Path, loop: int) -> DataFrame:
+        """NEXT matches of a path with a loop at the place `loop`.
+
+        One pass over a bucket, from the latest event to the earliest, finds what follows each event, as `_chain` does, and
+        counts the loop's events behind it: the difference of two counts is the place of an event in a run. So a match is a
+        pair of a beginning, which ends before the loop, and the last event of the run with what follows that.
+        """
+        last, v = len(path) - 1, path[loop]
+        order = Window.partitionBy("_of").orderBy(F.desc("_at"), F.desc("_at_seq"), "_place")
+        follows = order.rowsBetween(Window.unboundedPreceding, -1)
+        here = F.struct("_at", "_at_seq")
+        rows = self._placed(path)
+        rows = rows.withColumn("_behind", F.count(F.when(F.col("_place") == loop, 1)).over(follows))
+        chain = {last: F.array(here)}  # by place: the event and those that follow it
+        for i in range(last - 1, loop, -1):
+            rows = rows.withColumn(f"_next{i}", F.last(F.when(F.col("_place") == i + 1, chain[i + 1]), ignorenulls=True).over(follows))
+            chain[i] = F.concat(F.array(here), F.col(f"_next{i}"))
+        rows = rows.withColumn("_rest", F.last(F.when(F.col("_place") == loop + 1, chain[loop + 1]), ignorenulls=True).over(follows))
+        begun = F.struct(F.array(here).alias("own"), F.col("_behind").alias("behind"), F.col("_rest").alias("rest"))
+        for i in range(loop - 2, -1, -1):
+            rows = rows.withColumn(f"_begun{i}", F.last(F.when(F.col("_place") == i + 1, begun), ignorenulls=True).over(follows))
+            begun = F.struct(F.concat(F.array(here), F.col(f"_begun{i}.own")).alias("own"), F.col(f"_begun{i}.behind").alias("behind"), F.col(f"_begun{i}.rest").alias("rest"))
+        # one shuffle and sort for both sides of the pairs
+        sides = rows.select("_of", "_place", "_at", "_at_seq", "_behind", "_rest", F.when(F.col("_place") == 0, begun).alias("_begun"))
+        event = lambda column, u: [column["_at"].alias(name(u.name, "ts")), column["_at_seq"].alias(name(u.name, "seq"))]
+        began = sides.filter((F.col("_place") == 0) & F.col("_begun.behind").isNotNull() & F.col("_begun.own").isNotNull())
+        began = began.select("_of", (F.col("_at") + self.window).alias("_until"), F.col("_begun.behind").alias("_from"), F.col("_begun.rest").alias("_skip"), *(c for i in range(loop) for c in event(F.col("_begun.own")[i], path[i])))
+        ended = lambda rest: rest[last - loop - 1]["_at"]
+        run = sides.filter((F.col("_place") == loop) & F.col("_rest").isNotNull())
+        run = run.select(F.col("_of").alias("_run_of"), F.col("_behind").alias("_left"), ended(F.col("_rest")).alias("_ended"), *event(here, v), *(c for i in range(loop + 1, last + 1) for c in event(F.col("_rest")[i - loop - 1], path[i])))
+        keep = [name(u.name, x) for u in path for x in (("ts", "seq", "k") if u is v else ("ts", "seq"))]
+        pairs = began.drop("_skip").join(run, (F.col("_of") == F.col("_run_of")) & (F.col("_left") < F.col("_from")) & (F.col("_ended") <= F.col("_until")))
+        out = pairs.withColumn(name(v.name, "k"), F.col("_from") - F.col("_left")).select(*keep)
+        if v.kind == STAR:
+            skipped = began.filter(ended(F.col("_skip")) <= F.col("_until"))
+            empty = {name(v.name, "ts"): F.lit(None).cast("long"), name(v.name, "seq"): F.lit(None).cast("long"), name(v.name, "k"): F.lit(0).cast("long")}
+            after = {c: F.col("_skip")[i - loop - 1][x] for i in range(loop + 1, last + 1) for c, x in ((name(path[i].name, "ts"), "_at"), (name(path[i].name, "seq"), "_at_seq"))}
+            out = out.unionByName(skipped.withColumns(empty | after).select(*keep))
+        return out
+
     def _extended(self, out: DataFrame, v: Var, bound: list[Var], before: tuple[str, str]) -> DataFrame:
         offered = self._offered(v)
         on = [out["_of"] == offered["_of"], *self._after(v, F.col(before[0]), F.col(before[1]), F.col("_start")), *self._conditions(v, bound)]

@@ -316,3 +316,27 @@ def test_golden_counts(spark, pattern, where, within, every, first):
     for strategy, want in (("ANY", every), ("NEXT", first)):
         if want is not None:
             assert e.sql(f"PATTERN {pattern} FROM events USING SKIP_TILL_{strategy}_MATCH {where} WITHIN {within} RETURN COUNT(*)").first().matches == want
+
+
+@pytest.mark.parametrize("shape", ["SEQ(T0 a, T1 b, {}(T1 n), T1 c, T0 d)", "SEQ(T1 a, {}(T1 n), T1 c, T2 d)"])
+def test_random_loops(spark, shape):
+    """Loops with plain variables around them, ties and repeated types: the answers of the sequential matcher."""
+    rng = random.Random(5)
+    rows = sorted(((f"T{rng.randint(0, 2)}", rng.randint(0, 9), 0, 0.0, 0.0, rng.randint(-20, 30)) for _ in range(70)), key=lambda r: r[-1])
+    events = [{"_type": r[0], "a1": r[1], "_ts": r[5], "_seq": i} for i, r in enumerate(rows)]
+    for loop, window in (("KP", 9), ("KS", 9), ("KS", 0)):
+        q = parse(f"PATTERN {shape.format(loop)} FROM t USING SKIP_TILL_NEXT_MATCH WHERE a.a1 <= 7 AND n.a1 >= 2 WITHIN {window} units RETURN tuples")
+        runs, want, names = Windows(q.paths[0], q.ranges, q.compares, window, q.strategy), [], [v.name for v in q.paths[0]]
+        for m in [m for e in events for m in runs.feed(e)] + runs.rest():
+            want.append([m[v] and m[v]["_seq"] for v in names] + [m["n#"]])
+        for how in ({}, {"splits": 3}):
+            got = [[r[f"{v}__seq"] for v in names] + [r.n__k] for r in small(spark, rows, **how).match(q).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want)), (loop, window, how)
+
+
+@pytest.mark.parametrize("name", ["kleene_plus_buckets"])
+def test_loop_matches_stay_as_written(spark, name):
+    """Pairs of a loop are neither sorted nor dealt out nor grouped again: all that is shuffled or sorted is events."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join Inner")[0]
+    assert "Join Inner" in plan and "Window" not in above and "Aggregate" not in above and "Sort" not in above
