@@ -7,6 +7,7 @@ import time
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,7 +141,13 @@ class Engine:
         return out.select("path", *order)
 
     def count(self, query: str | Query) -> DataFrame:
-        return self.match(query).agg(F.count("*").alias("matches"))
+        """matches: their number, without forming those of paths that sums can count."""
+        q, _ = self._query(query)
+        m = self.matcher(q)
+        if q.strategy == STRICT or not all(matching.countable(m, path) for path in q.paths):
+            return self.match(q).agg(F.count("*").alias("matches"))
+        each = reduce(DataFrame.unionAll, (matching.counted(m, path) for path in q.paths))
+        return each.agg(F.sum("n").cast("long").alias("matches"))
 
     def events_of(self, query: str | Query, matches: DataFrame) -> DataFrame:
         """The matches with a struct of the whole event for every variable, fetched by sequence number."""

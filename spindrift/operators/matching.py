@@ -14,7 +14,7 @@ events knows what follows it, so matches are written as pairs of a beginning and
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -295,6 +295,42 @@ class Matcher:
         return out.join(offered, _all(on), "left_anti").drop("_gap", "_gap_seq")
 
 
+def countable(matcher: Matcher, path: Path) -> bool:
+    """Whether `counted` can count the matches of a path: ANY, plain variables, and no comparison that ties two of them."""
+    names = {v.name for v in path}
+    return matcher.strategy == ANY and all(v.kind == ONE for v in path) and not any(len(c.vars) == 2 and c.vars <= names for c in matcher.compares)
+
+
+def counted(matcher: Matcher, path: Path) -> DataFrame:
+    """n: the number of ANY matches of a path, without forming them; one shuffle and two sorts of the events.
+
+    A window that begins in a bucket as wide as itself holds the rest of that bucket and the next one up to its end. So a match
+    is a beginning (variables 0 to k) within the first bucket and an end (k + 1 on) within the next: running sums from the
+    latest event to the earliest count the beginnings of each first event, others in order of time the ends up to a time.
+    Sums are decimals of 38 digits; a larger one is an error.
+    """
+    m, last, many = replace(matcher, splits=1), len(path) - 1, "decimal(38,0)"
+    rows = m._placed(path)
+    rows = rows.withColumn("_in", bucket(F.col("_at"), m.width) == F.col("_of"))
+    one, zero = F.lit(1).cast(many), F.lit(0).cast(many)
+    # of one event, a later place is read before an earlier one in order of time, and after it in the other: none follows itself
+    up = Window.partitionBy("_of").orderBy("_at", "_at_seq", F.desc("_place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_of").orderBy(F.desc("_at"), F.desc("_at_seq"), "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = lambda here, value, over: F.coalesce(F.sum(F.when(here, value)).over(over), zero).cast(many)
+    for j in range(1, last + 1):  # _e{k}: ends from variable k to j up to an event
+        here = (F.col("_place") == j) & ~F.col("_in")
+        rows = rows.withColumns({f"_e{k}": summed(here, F.col(f"_e{k}") if k < j else one, up) for k in range(1, j + 1)})
+    if last:  # up to the end of the window that the event begins, whatever their sequence numbers
+        until = Window.partitionBy("_of").orderBy("_at").rangeBetween(Window.unboundedPreceding, m.window)
+        rows = rows.withColumns({f"_e{k}": F.max(f"_e{k}").over(until) for k in range(1, last + 1)})
+    for i in range(last, 0, -1):  # _b{k}: beginnings from variable i to k, from an event on
+        here = (F.col("_place") == i) & F.col("_in")
+        rows = rows.withColumns({f"_b{k}": summed(here, F.col(f"_b{k}") if k > i else one, down) for k in range(i, last + 1)})
+    ends = {k: F.col(f"_e{k + 1}") if k < last else one for k in range(last + 1)}
+    each = reduce(lambda a, b: a + b, ((F.col(f"_b{k}") if k else one) * ends[k] for k in range(last + 1)))
+    return rows.filter(F.col("_place") == 0).agg(F.coalesce(F.sum(each.cast(many)).cast(many), zero).alias("n"))
+
+
 def contiguous(events: DataFrame, path: Path, ranges: tuple[Range, ...], compares: tuple[Compare, ...], window: int, by: list[str] = ()) -> DataFrame:
     """Strict contiguity: the variables bind neighbouring events of the table (of each key, if `by` is given).
 

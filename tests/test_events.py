@@ -340,3 +340,15 @@ def test_loop_matches_stay_as_written(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join Inner")[0]
     assert "Join Inner" in plan and "Window" not in above and "Aggregate" not in above and "Sort" not in above
+
+
+def test_counts_form_no_matches(spark):
+    """Counts by sums: those of the matches themselves with ties, repeated types and either order, and no join."""
+    rng = random.Random(3)
+    e = small(spark, [(f"T{rng.randint(0, 2)}", rng.randint(0, 9), 0, 0.0, 0.0, rng.randint(-20, 30)) for _ in range(90)])
+    for shape, window in (("SEQ(T0 a, T1 b, T0 c, T0 d)", 9), ("AND(T1 a, SEQ(T1 b, T2 c))", 7), ("SEQ(T0 a, OR(T1 b, T0 c))", 0), ("SEQ(T0 a)", 5), ("SEQ(T0 a, T9 b)", 5)):
+        q = parse(f"PATTERN {shape} FROM t USING SKIP_TILL_ANY_MATCH WHERE a.a1 <= 7 WITHIN {window} units RETURN COUNT(*)")
+        assert e.count(q).first().matches == e.match(q).count(), (shape, window)
+    tied = "PATTERN SEQ(T0 a, T1 b) FROM t USING SKIP_TILL_ANY_MATCH WHERE b.a1 >= a.a1 WITHIN 9 units RETURN COUNT(*)"
+    assert e.count(tied).first().matches == e.match(tied).count()
+    assert "Join" not in queries.QUERIES["seq5_any_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
