@@ -149,6 +149,24 @@ class Engine:
         each = reduce(DataFrame.unionAll, (matching.counted(m, path) for path in q.paths))
         return each.agg(F.sum("n").cast("long").alias("matches"))
 
+    def subtract(self, short: str | Query, longer: str | Query, without: str) -> DataFrame:
+        """The matches of `short` less the projections of those of `longer`, which has the variable `without` besides.
+
+        Under ANY, where that variable stands alone between two others of a path and no comparison names it, a match is a
+        projection if an event that may bind it lies between its neighbours. Then neither side is formed to be subtracted:
+        the matches are those of `short` with the variable negated.
+        """
+        a, b = (self._query(q)[0] for q in (short, longer))
+        if not (len(a.paths) == len(b.paths) == 1 and all(v.kind == patterns.ONE for q in (a, b) for v in q.paths[0])):
+            return matching.subtract(self.match(a), self.match(b), without)
+        path = b.paths[0]
+        rest = tuple(v for v in path if v.name != without)
+        same = (a.table, a.strategy, a.within, a.unit, set(a.compares)) == (b.table, b.strategy, b.within, b.unit, set(b.compares)) and set(a.ranges) == {r for r in b.ranges if r.var != without}
+        inner = rest == a.paths[0] and len(rest) == len(path) - 1 and without not in (path[0].name, path[-1].name)
+        if a.strategy != ANY or not same or not inner or any(without in c.vars for c in b.compares):
+            return matching.subtract(self.match(a), self.match(b), without)
+        return self.match(replace(b, pattern=patterns.Op("SEQ", tuple(replace(v, kind=patterns.NOT) if v.name == without else v for v in path))))
+
     def events_of(self, query: str | Query, matches: DataFrame) -> DataFrame:
         """The matches with a struct of the whole event for every variable, fetched by sequence number."""
         q, table = self._query(query)

@@ -117,10 +117,13 @@ class Matcher:
             out = self._chain(path[:plain])
         else:
             out = self._first(first).withColumns({"_start": F.col(name(first.name, "ts")), "_end": F.col(name(first.name, "ts")), "_end_seq": F.col(name(first.name, "seq"))})
+        guarded = self._guarded(path)
+        if guarded:
+            out = self._until_first(out, first, path[1])
         bound, keys, pending = list(path[:plain]), [name(first.name, "seq")], None
         for v in path[plain:]:
             if v.kind == NOT:
-                pending = v
+                pending = None if guarded and v is path[1] else v
                 continue
             if v.kind in (PLUS, STAR):
                 out, keys = self._loop(out, v, bound, keys)
@@ -129,6 +132,9 @@ class Matcher:
                 if pending is not None:
                     out = out.withColumns({"_gap": F.col("_end"), "_gap_seq": F.col("_end_seq")})
                 out = self._step(out, v, bound, keys, before)
+                if guarded and len(bound) == 1:
+                    stop, ts, seq = F.col("_stop"), F.col(name(v.name, "ts")), F.col(name(v.name, "seq"))
+                    out = out.filter(stop.isNull() | (ts < stop["ts"]) | (ts == stop["ts"]) & (seq <= stop["seq"])).drop("_stop")
                 if self.strategy == ANY:
                     keys = [*keys, name(v.name, "seq")]
             bound.append(v)
@@ -285,6 +291,24 @@ class Matcher:
             joined = joined.unionByName(none, allowMissingColumns=True)
         return joined, [*keys, k]
 
+    def _guarded(self, path: Path) -> bool:
+        """Whether a path begins with a negation between plain variables that no comparison touches, under ANY: the first
+        event that may bind it then ends what may follow the first variable."""
+        if self.strategy != ANY or [v.kind for v in path[:3]] != [ONE, NOT, ONE]:
+            return False
+        names = {v.name for v in path}
+        return not any(path[1].name in c.vars and len(c.vars) == 2 and c.vars <= names for c in self.compares)
+
+    def _until_first(self, out: DataFrame, first: Var, gone: Var) -> DataFrame:
+        """The events of the first variable with `_stop`, the first event of the negated one after each (null if there is
+        none in its buckets), by one sorted pass."""
+        ts, seq = name(gone.name, "ts"), name(gone.name, "seq")
+        stops = self._offered(gone).select("_of", F.col(ts).alias("_at"), F.col(seq).alias("_at_seq"), F.lit(1).alias("_place"))
+        rows = out.withColumns({"_at": F.col("_end"), "_at_seq": F.col("_end_seq"), "_place": F.lit(0)}).unionByName(stops, allowMissingColumns=True)
+        follows = Window.partitionBy("_of").orderBy(F.desc("_at"), F.desc("_at_seq"), "_place").rowsBetween(Window.unboundedPreceding, -1)
+        stop = F.last(F.when(F.col("_place") == 1, F.struct(F.col("_at").alias("ts"), F.col("_at_seq").alias("seq"))), ignorenulls=True).over(follows)
+        return rows.withColumn("_stop", stop).filter(F.col("_place") == 0).drop("_at", "_at_seq", "_place")
+
     def _without(self, out: DataFrame, gone: Var, last: Var, bound: list[Var]) -> DataFrame:
         """Matches with no qualifying event strictly between the variables around the negation."""
         offered = self._offered(gone)

@@ -237,9 +237,8 @@ _pattern("neg_between_any", _text("SEQ(view v1, NEG(error n), click v2)", within
 
 def _subtract(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
-    short = e.match(_text("SEQ(view v1, click v2)", within="20 minutes"))
-    longer = e.match(_text("SEQ(view v1, error n, click v2)", within="20 minutes"))
-    return _ids(matching.subtract(short, longer, "n"))
+    short, longer = (_text(pattern, within="20 minutes") for pattern in ("SEQ(view v1, click v2)", "SEQ(view v1, error n, click v2)"))
+    return _ids(e.subtract(short, longer, "n"))
 
 
 _add("neg_subtract", _subtract, f"{_any_sql([VIEW, CLICK], HOUR // 3)} AND {_GAP.format(a='v1', b='v2')}")

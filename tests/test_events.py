@@ -352,3 +352,15 @@ def test_counts_form_no_matches(spark):
     tied = "PATTERN SEQ(T0 a, T1 b) FROM t USING SKIP_TILL_ANY_MATCH WHERE b.a1 >= a.a1 WITHIN 9 units RETURN COUNT(*)"
     assert e.count(tied).first().matches == e.match(tied).count()
     assert "Join" not in queries.QUERIES["seq5_any_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_subtraction_forms_no_longer_matches(spark):
+    """Subtraction as negation: what subtracting formed matches gives, and one join of pairs where there were three."""
+    rng = random.Random(7)
+    e = small(spark, [(f"T{rng.randint(0, 2)}", rng.randint(0, 9), 0, 0.0, 0.0, rng.randint(-20, 30)) for _ in range(80)])
+    text = "PATTERN SEQ({}) FROM t USING SKIP_TILL_ANY_MATCH WHERE {} WITHIN 9 units RETURN tuples"
+    for short, longer, a, b in (("T0 a, T1 c", "T0 a, T2 n, T1 c", "a.a1 <= 7", "a.a1 <= 7 AND n.a1 >= 5"), ("T0 a, T1 c", "T0 a, T1 n, T1 c", "a.a1 <= c.a1", "a.a1 <= c.a1"), ("T0 a, T0 c, T1 d", "T0 a, T0 n, T0 c, T1 d", "a.a1 <= d.a1", "a.a1 <= d.a1 AND n.a1 >= 8"), ("T0 a, T1 c", "T0 a, T2 n, T1 c", "a.a1 <= 7", "a.a1 <= 7 AND n.a1 >= a.a1")):
+        short, longer = text.format(short, a), text.format(longer, b)
+        rows = lambda df: sorted(map(str, df.select(*sorted(c for c in df.columns if c.endswith("__seq"))).collect()))
+        assert rows(e.subtract(short, longer, "n")) == rows(matching.subtract(e.match(short), e.match(longer), "n")), longer
+    assert queries.QUERIES["neg_subtract"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
