@@ -334,7 +334,7 @@ def test_random_loops(spark, shape):
             assert sorted(map(str, got)) == sorted(map(str, want)), (loop, window, how)
 
 
-@pytest.mark.parametrize("name", ["kleene_plus_buckets", "kleene_plus", "kleene_star", "kleene_plus_intervals", "kleene_star_buckets"])
+@pytest.mark.parametrize("name", ["kleene_plus_buckets", "kleene_plus", "kleene_star", "kleene_plus_intervals", "kleene_star_buckets", "kleene_star_intervals"])
 def test_loop_matches_stay_as_written(spark, name):
     """Pairs of a loop are neither sorted nor dealt out nor grouped again: all that is shuffled or sorted is events."""
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
