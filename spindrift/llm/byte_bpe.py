@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import giving_back, small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Ranks that share one word of the lower bitmap, as a power of two.
@@ -33,6 +33,8 @@ SPAN = 8
 #: New pre-tokens whose ids a worker takes up before it forgets those it has not met since as many before, and the
 #: longest that it remembers: 800,000 of 64 characters at most.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: As REMEMBERED, where ids are given too.
+BESIDE_IDS = 50_000
 #: Ids that are decoded at once.
 DECODED = 1 << 16
 #: Characters of the texts whose pre-tokens are merged in one queue; a longer text has a queue of its own.
@@ -256,12 +258,12 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     shared = _shared(spark, vocabulary)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(shared.value, pattern, REMEMBERED // 2)
+        codec = _codec(shared.value, pattern, BESIDE_IDS)
         for batch in batches:
             yield pd.Series([np.frombuffer(ids, "<i4") for ids in codec.encode_batch(x or "" for x in batch)])
         codec.forget()
 
-    return F.pandas_udf(encode, "array<int>")
+    return F.pandas_udf(giving_back(encode), "array<int>")
 
 
 def decoder(spark: SparkSession, vocabulary: str = VOCABULARY):
@@ -284,13 +286,13 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
     where asked for, the ids themselves (array of int).
 
     Without ids, workers know between their tasks the pre-tokens that they have met; with ids, whose batches are far
-    larger, a worker remembers half as many and forgets them at the end of each task.
+    larger, a worker remembers fewer (BESIDE_IDS), forgets them at the end of each task and gives freed memory back.
     """
     shared, schema = _shared(spark, vocabulary), DIGESTS + ", ids array<int>" * ids
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.value, pattern, REMEMBERED // 2 if ids else None)
+        codec = _codec(shared.value, pattern, BESIDE_IDS if ids else None)
         for batch in batches:
             rows = []
             for found in codec.encode_batch(x or "" for x in batch):
@@ -300,7 +302,7 @@ def digests(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = pu
         if ids:
             codec.forget()
 
-    return F.pandas_udf(digest, schema)
+    return F.pandas_udf(giving_back(digest) if ids else digest, schema)
 
 
 def encode_table(documents: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:

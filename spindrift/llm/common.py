@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """df, of far fewer rows than the input, computed in an eighth of the tasks that a shuffle has, or 4 a core if that is more.
+
+    Each of its tasks writes a file of its own. Where the shared folder is a plain local path and Hadoop's native library is
+    missing, each file and its checksum start a process (chmod) beside the executor's heap.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 #: Rows of texts that a Python worker gets at once; Spark's own 10,000 can be gigabytes where texts are long.
 BATCH_ROWS = 2048
 
@@ -52,6 +65,30 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Gives to the system what this Python worker has freed; else its allocators keep the most that a batch ever took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def giving_back(apply: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """apply, a function of batches, whose worker holds no freed memory after a batch or between tasks."""
+
+    @functools.wraps(apply)
+    def thrifty(batches):
+        for out in apply(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return thrifty
+
+
 def clean_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -94,7 +131,7 @@ def text_udf(schema: str, setup: Callable[[], Callable[[str], tuple]]):
         for batch in batches:
             yield pd.DataFrame([f(x or "") for x in batch], columns=names)
 
-    return F.pandas_udf(apply, schema)
+    return F.pandas_udf(giving_back(apply), schema)
 
 
 #: Hash buckets in which `split_by_keys` notes keys; the rows that it broadcasts number so many at most.
@@ -108,6 +145,6 @@ def split_by_keys(df: DataFrame, column: Column, keys: DataFrame) -> tuple[DataF
     keys more rows pass as possible ones; none is ever missed.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(KEY_BUCKETS))
-    marked = checkpointed(keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("__bucket")).distinct())
+    marked = checkpointed(in_few_tasks(keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("__bucket")).distinct()))
     on = place(column) == F.col("__bucket")
     return df.join(F.broadcast(marked), on, "left_semi"), df.join(F.broadcast(marked), on, "left_anti")

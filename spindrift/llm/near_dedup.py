@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, GroupedData, Observation
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, split_by_keys
+from .common import checkpointed, giving_back, in_few_tasks, small_batches, split_by_keys
 
 WORDS, SIMILARITY = 4, 80
 #: VALUES are the bits of a sketch; the signature has POSITIONS values, so that no two trees begin with a common one.
@@ -117,7 +117,7 @@ def _base(documents: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "cls": cls, "sig": sig})
         _words.clear()  # an idle worker holds no words
 
-    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(read, "doc_id long, n_shingles long, cls binary, sig binary")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(giving_back(read), "doc_id long, n_shingles long, cls binary, sig binary")
 
 
 # ---- the forest
@@ -145,7 +145,7 @@ def _branches(classes: DataFrame) -> DataFrame:
                 })
                 assert n == len(part)
 
-    return classes.select("nid", "sig").mapInPandas(grow, "key long, deeper long, s0 long, s1 long, nid long")
+    return classes.select("nid", "sig").mapInPandas(giving_back(grow), "key long, deeper long, s0 long, s1 long, nid long")
 
 
 def sketch_bits(similarity: int) -> int:
@@ -279,7 +279,7 @@ def _neighbours(branches: DataFrame, bits: int) -> DataFrame:
             yield done(frame, True)
 
     ordered = branches.repartitionByRange("key", "deeper").sortWithinPartitions("key", "deeper", "nid")
-    return ordered.mapInPandas(walk, "region long, a long, b long, apart int, s0 long, s1 long")
+    return ordered.mapInPandas(giving_back(walk), "region long, a long, b long, apart int, s0 long, s1 long")
 
 
 # ---- confirmation
@@ -294,10 +294,10 @@ def _sets(documents: DataFrame, classes: DataFrame, involved: DataFrame, k: int)
             yield pd.DataFrame({"nid": batch["nid"], "found": found})[same].drop_duplicates("nid")
         _words.clear()
 
-    wanted = checkpointed(classes.join(involved, "nid", "left_semi").select("nid", "cls", "rep"))
+    wanted = checkpointed(in_few_tasks(classes.join(involved, "nid", "left_semi").select("nid", "cls", "rep")))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     texts, _ = split_by_keys(texts, F.col("id"), wanted.select("rep"))  # most texts are in no pair and stay where they are
-    return texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("nid", "cls", "text").mapInPandas(read, "nid long, found binary").dropDuplicates(["nid"])
+    return texts.join(wanted, texts["id"].eqNullSafe(wanted["rep"])).select("nid", "cls", "text").mapInPandas(giving_back(read), "nid long, found binary").dropDuplicates(["nid"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             yield batch[["a", "b"]][ok]
 
     x, y = sets.select(F.col("nid").alias("a"), F.col("found").alias("x")), sets.select(F.col("nid").alias("b"), F.col("found").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(giving_back(confirm), "a long, b long")
 
 
 def _gathered_rows(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
@@ -323,7 +323,7 @@ def _gathered_rows(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
     would leave more file heads than rows. Rows are counted as they are written, without a job of its own.
     """
     seen = Observation()
-    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    out = checkpointed(in_few_tasks(df).observe(seen, F.count(F.lit(1)).alias("n")))
     n = seen.get["n"]
     return out.coalesce(max(1, -(-n // rows))), n
 
@@ -377,7 +377,7 @@ def components(links: DataFrame) -> DataFrame:
         x, y = step.select(F.col("node").alias("a"), F.col("to").alias("ra")), step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         edges, left = _gathered_rows(edges.join(x, "a").join(y, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         number += 1
-    settled = _gathered(edges.coalesce(1).mapInPandas(settle, "node long, root long"))
+    settled = _gathered(edges.coalesce(1).mapInPandas(giving_back(settle), "node long, root long"))
     if roots is None:
         return settled
     roots = _moved(roots, settled)
@@ -514,7 +514,7 @@ def drop_near_copies(documents: DataFrame, **how) -> DataFrame:
     The verdict comes back by doc_id, so different texts under one doc_id stay or go together. Documents whose id no
     verdict against it and no second row has are passed on as they are; only the others are shuffled.
     """
-    found = checkpointed(dedup(documents, **how).select(F.col("doc_id").alias("__id"), "kept"))
+    found = checkpointed(in_few_tasks(dedup(documents, **how).select(F.col("doc_id").alias("__id"), "kept")))
     each = found.groupBy("__id").agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept"))
     doubtful, clear = split_by_keys(documents, F.col("doc_id").cast("long"), each.filter("n > 1 OR kept = 0").select("__id"))
     kept = each.filter("kept = 1").select(F.col("__id").alias("__kept_id"))

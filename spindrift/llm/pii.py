@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import giving_back, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", "secret", "account", "contact")
@@ -412,7 +412,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def _series_udf(apply, schema: str):
     apply.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series if schema == "string" else pd.DataFrame]}
-    return F.pandas_udf(apply, schema)
+    return F.pandas_udf(giving_back(apply), schema)
 
 
 def find(documents: DataFrame, crf: Crf | None = None) -> DataFrame:

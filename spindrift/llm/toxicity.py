@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, checkpointed, labelled_sample, small_batches, text_udf
+from .common import bucket, checkpointed, giving_back, in_few_tasks, labelled_sample, small_batches, text_udf
 
 #: Labelled rows that are learnt from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -137,7 +137,7 @@ def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
         if found:  # Arrow takes no string column from a frame without rows
             yield pd.DataFrame({"entry": list(found), "n": list(found.values())}, columns=["entry", "n"])
 
-    return sample.select("text").mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInPandas(giving_back(count), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _rate(k: int, toxic: int, c: int, others: int) -> float:
@@ -153,7 +153,7 @@ def learn(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE, share: f
     if one of them is labelled so.
     """
     sample = labelled_sample(documents, labels, "toxic", MODULUS, HELD_OUT, bound)
-    sample = checkpointed(sample.groupBy("text").agg(F.max("label").alias("label")))
+    sample = checkpointed(in_few_tasks(sample.groupBy("text").agg(F.max("label").alias("label"))))
     n = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     toxic, others = n.get(1, 0), n.get(0, 0)
     if not toxic or not others:

@@ -3,11 +3,12 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from conftest import SF, compare
 
-from spindrift.llm import chat, mixing, near_dedup, queries, rules
+from spindrift.llm import chat, common, mixing, near_dedup, queries, rules
 from test_texts import LONG, ODD, frame
 
 
@@ -330,3 +331,33 @@ def test_pipeline(spark):
     size = lambda t: len(t.encode().split())
     total, taken = sum(map(size, masked.values())), sum(size(masked[i]) * len(v) for i, v in seen.items())
     assert abs(taken - total) < 0.1 * total
+
+
+def test_small_results_leave_few_files(spark):
+    """What is far smaller than the input is not written by as many tasks as a shuffle has."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        common.shared_dir(spark)
+        folder = spark.sparkContext._jvm.java.nio.file.Path.of(spark.sparkContext._jvm.java.net.URI(common.shared_dir(spark))).toString()
+        before = set(Path(folder).rglob("part-*"))
+        out, n = near_dedup._gathered_rows(spark.range(500).groupBy("id").count())
+        assert n == 500 and sorted(r["id"] for r in out.collect()) == list(range(500))
+        assert 0 < len(set(Path(folder).rglob("part-*")) - before) <= 16
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After each batch and at the end, when the batch is gone."""
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given"))
+
+    def twice(batches):
+        for x in batches:
+            yield 2 * x
+        seen.append("end")
+
+    assert [seen.append(x) for x in common.giving_back(twice)(iter([1, 2]))] and seen == [2, "given", 4, "given", "end", "given"]
