@@ -230,7 +230,7 @@ class Matcher:
         order = Window.partitionBy("_of").orderBy(F.desc("_at"), F.desc("_at_seq"), "_place")
         follows = order.rowsBetween(Window.unboundedPreceding, -1)
         here = F.struct("_at", "_at_seq")
-        rows = self._placed(path)
+        rows = self._placed(path).filter(F.col("_of").isNotNull())  # as the join asks of its sides, so that what stands beside it shares their shuffle
         rows = rows.withColumn("_behind", F.count(F.when(F.col("_place") == loop, 1)).over(follows))
         chain = {last: F.array(here)}  # by place: the event and those that follow it
         for i in range(last - 1, loop, -1):
@@ -250,7 +250,8 @@ class Matcher:
         run = sides.filter((F.col("_place") == loop) & F.col("_rest").isNotNull())
         run = run.select(F.col("_of").alias("_run_of"), F.col("_behind").alias("_left"), ended(F.col("_rest")).alias("_ended"), *event(here, v), *(c for i in range(loop + 1, last + 1) for c in event(F.col("_rest")[i - loop - 1], path[i])))
         keep = [name(u.name, x) for u in path for x in (("ts", "seq", "k") if u is v else ("ts", "seq"))]
-        pairs = began.drop("_skip").join(run, (F.col("_of") == F.col("_run_of")) & (F.col("_left") < F.col("_from")) & (F.col("_ended") <= F.col("_until")))
+        # neighbouring beginnings share most of what follows: with the run's side outside, few columns change from row to row as written
+        pairs = run.join(began.drop("_skip"), (F.col("_of") == F.col("_run_of")) & (F.col("_left") < F.col("_from")) & (F.col("_ended") <= F.col("_until")))
         out = pairs.withColumn(name(v.name, "k"), F.col("_from") - F.col("_left")).select(*keep)
         if v.kind == STAR:
             skipped = began.filter(ended(F.col("_skip")) <= F.col("_until"))

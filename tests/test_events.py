@@ -1,3 +1,4 @@
+import contextlib
 import json
 import random
 
@@ -24,6 +25,17 @@ def test_oracle(spark, name):
     assert a == b
 
 
+@contextlib.contextmanager
+def sort_merge(spark):
+    """Small tables are joined as large ones are."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def small(spark, rows=ROWS, **how):
     e = Engine(spark, **how)
     e.register("t", spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, type string, a1 int, a2 int, a3 double, a4 double, time long"), "type", "time", "seq")
@@ -342,6 +354,28 @@ def test_loop_matches_stay_as_written(spark, name):
     assert "Join Inner" in plan and "Window" not in above and "Aggregate" not in above and "Sort" not in above
 
 
+@pytest.mark.parametrize("name", ["kleene_star", "kleene_star_buckets", "kleene_star_intervals"])
+def test_loop_events_are_shuffled_once(spark, name):
+    """All that a star's matches are made of reads one shuffle of its events."""
+    with sort_merge(spark):
+        df = queries.QUERIES[name](spark, SF)
+        df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning(_of#" in x and "ReusedExchange" not in x for x in final.splitlines()) == 1, final
+
+
+@pytest.mark.parametrize("prefilter", [None, "buckets", "intervals"])
+@pytest.mark.parametrize("loop", ["KP", "KS"])
+def test_loop_matches_stand_by_last_event(spark, loop, prefilter):
+    """The matches that one event ends are written together: an event stands in two buckets at most."""
+    rng = random.Random(11)
+    rows = [(f"T{rng.randint(0, 3)}", 0, 0, 0.0, 0.0, rng.randint(0, 30)) for _ in range(160)]
+    with sort_merge(spark):
+        found = small(spark, rows, prefilter=prefilter).match(f"PATTERN SEQ(T0 a, T1 b, {loop}(T2 n), T3 c) FROM t USING SKIP_TILL_NEXT_MATCH WITHIN 20 units RETURN tuples").collect()
+    last = [r.n__seq for r in found if r.n__k]
+    assert len(last) > 10 * len(set(last)) and sum(a != b for a, b in zip(last, last[1:], strict=False)) < 2 * len(set(last))
+
+
 def test_counts_form_no_matches(spark):
     """Counts by sums: those of the matches themselves with ties, repeated types and either order, and no join."""
     rng = random.Random(3)
