@@ -1,4 +1,8 @@
-"""Window pruning: replay intervals, interval semi-joins and bucket intersection. None of it changes an answer."""
+"""Window pruning: replay intervals, interval semi-joins and bucket intersection. None of it changes an answer.
+
+What prunes grows with the time that events cover, not with their number. Where that is at most MOST_BROADCAST windows it
+goes to every task, so no events are shuffled to be pruned; beyond, both sides are shuffled by bucket.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from ..plans.patterns import NOT, STAR, Path
 from .matching import Matcher, name
 
 LEFT, RIGHT, MIDDLE = "left", "right", "middle"
+#: Buckets, or spans in each bucket that they touch, that are sent to every task (24 bytes each and a hash table's room).
+MOST_BROADCAST = 200_000
 
 
 def intervals(points: DataFrame, window: int, side: str = MIDDLE, ts: str = "ts") -> DataFrame:
@@ -19,6 +25,15 @@ def intervals(points: DataFrame, window: int, side: str = MIDDLE, ts: str = "ts"
     return points.select(lo.alias("lo"), hi.alias("hi"))
 
 
+def covered(points: DataFrame, window: int, side: str = MIDDLE, ts: str = "ts") -> DataFrame:
+    """The time that `intervals` cover, in spans of up to three windows that may overlap, at most one for each window of time.
+
+    Intervals are as long as a window or longer, so those that begin within one window of time overlap one another.
+    """
+    spans = intervals(points, window, side, ts)
+    return spans.groupBy(bucket(F.col("lo"), max(1, window)).alias("_part")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_part")
+
+
 def islands(spans: DataFrame, width: int) -> DataFrame:
     """Spans (lo, hi), each at most `width` long, merged where they overlap or touch.
 
@@ -58,18 +73,20 @@ def _reach(spans: DataFrame, width: int) -> DataFrame:
     return spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("lo"), width), bucket(F.col("hi"), width))))
 
 
-def keep_points(points: DataFrame, spans: DataFrame, width: int, ts: str = "ts") -> DataFrame:
-    """The points that lie in a span (both ends included)."""
+def keep_points(points: DataFrame, spans: DataFrame, width: int, ts: str = "ts", few: bool = False) -> DataFrame:
+    """The points that lie in a span (both ends included). few: whether every task may get all spans."""
     width = max(1, width)
-    at = points.withColumn("_pb", bucket(F.col(ts), width))
-    return at.join(_reach(spans, width), (F.col("_pb") == F.col("_b")) & (F.col(ts) >= F.col("lo")) & (F.col(ts) <= F.col("hi")), "left_semi").drop("_pb")
+    at, reach = points.withColumn("_pb", bucket(F.col(ts), width)), _reach(spans, width)
+    return at.join(F.broadcast(reach) if few else reach, (F.col("_pb") == F.col("_b")) & (F.col(ts) >= F.col("lo")) & (F.col(ts) <= F.col("hi")), "left_semi").drop("_pb")
 
 
-def keep_spans(spans: DataFrame, points: DataFrame, width: int, ts: str = "ts") -> DataFrame:
-    """The spans that hold a point."""
+def keep_spans(spans: DataFrame, points: DataFrame, width: int, ts: str = "ts", few: bool = False) -> DataFrame:
+    """The spans that hold a point. few: whether every task may get all spans, of which few hold the same point."""
     width = max(1, width)
-    at = points.select(F.col(ts).alias("_t"), bucket(F.col(ts), width).alias("_pb"))
-    return _reach(spans, width).join(at, (F.col("_pb") == F.col("_b")) & (F.col("_t") >= F.col("lo")) & (F.col("_t") <= F.col("hi")), "left_semi").select(*spans.columns).distinct()
+    at, reach = points.select(F.col(ts).alias("_t"), bucket(F.col(ts), width).alias("_pb")), _reach(spans, width)
+    on = (F.col("_pb") == F.col("_b")) & (F.col("_t") >= F.col("lo")) & (F.col("_t") <= F.col("hi"))
+    held = at.join(F.broadcast(reach), on) if few else reach.join(at, on, "left_semi")
+    return held.select(*spans.columns).distinct()
 
 
 def keep_overlapping(spans: DataFrame, others: DataFrame, width: int) -> DataFrame:
@@ -84,6 +101,12 @@ def _needed(path: Path) -> list[int]:
     return [i for i, v in enumerate(path) if v.kind not in (NOT, STAR)]
 
 
+def _few(events: DataFrame, width: int, each: int = 1) -> bool:
+    """Whether `each` rows for every bucket of the time that events cover may go to every task; two numbers are collected."""
+    ends = events.agg(F.min("_ts").alias("first"), F.max("_ts").alias("last")).first()
+    return ends["first"] is None or each * ((ends["last"] - ends["first"]) // width + 2) <= MOST_BROADCAST
+
+
 def buckets(matcher: Matcher, path: Path) -> DataFrame:
     """_bucket: the time buckets that may hold part of a match, those in reach of a candidate of every needed variable."""
     width, found = max(1, matcher.window), None
@@ -99,8 +122,9 @@ def buckets(matcher: Matcher, path: Path) -> DataFrame:
 
 def by_buckets(matcher: Matcher, path: Path, found: DataFrame | None = None) -> DataFrame:
     """The matcher's events in buckets that may hold a match of the path (`found`, if those are known)."""
-    events = matcher.events.filter(F.col("_type").isin(sorted({v.type for v in path})))
-    return events.withColumn("_bucket", bucket(F.col("_ts"), max(1, matcher.window))).join(buckets(matcher, path) if found is None else found, "_bucket", "left_semi").drop("_bucket")
+    events, width = matcher.events.filter(F.col("_type").isin(sorted({v.type for v in path}))), max(1, matcher.window)
+    found = buckets(matcher, path) if found is None else found
+    return events.withColumn("_bucket", bucket(F.col("_ts"), width)).join(F.broadcast(found) if _few(events, width) else found, "_bucket", "left_semi").drop("_bucket")
 
 
 def by_intervals(matcher: Matcher, path: Path, driver: int = 0) -> DataFrame:
@@ -111,12 +135,13 @@ def by_intervals(matcher: Matcher, path: Path, driver: int = 0) -> DataFrame:
     events = matcher.events.filter(F.col("_type").isin(sorted({v.type for v in path})))
     side = LEFT if driver == 0 else RIGHT if driver == len(path) - 1 else MIDDLE
     v = path[driver]
-    spans = islands(intervals(matcher.candidates(v), window, side, name(v.name, "ts")), 2 * window)
+    spans = islands(covered(matcher.candidates(v), window, side, name(v.name, "ts")), 3 * window)
+    few = _few(events, max(1, window), 3)  # an island is longer than the window and touches a bucket more than it covers
     for i in needed:
         if i != driver:
             v = path[i]
-            spans = keep_spans(spans, matcher.candidates(v), 2 * window, name(v.name, "ts"))
-    return keep_points(events, spans, 2 * window, "_ts")
+            spans = keep_spans(spans, matcher.candidates(v), 2 * window, name(v.name, "ts"), few)
+    return keep_points(events, spans, 2 * window, "_ts", few)
 
 
 def driver(path: Path, selectivity: dict[str, float]) -> int:

@@ -376,6 +376,40 @@ def test_loop_matches_stand_by_last_event(spark, loop, prefilter):
     assert len(last) > 10 * len(set(last)) and sum(a != b for a, b in zip(last, last[1:], strict=False)) < 2 * len(set(last))
 
 
+@pytest.mark.parametrize("name", ["kleene_plus_buckets", "kleene_star_buckets", "kleene_plus_intervals", "kleene_star_intervals"])
+def test_pruning_shuffles_no_events(spark, name):
+    """Spans and buckets go to the events: shuffles by bucket are those of the matches, and of what prunes only sums."""
+    with sort_merge(spark):
+        df = queries.QUERIES[name](spark, SF)
+        df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    joins = [x for x in final if "SortMergeJoin" in x]
+    assert joins and all("_of#" in x for x in joins), final
+    assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in final), final
+
+
+def test_pruning_by_either_join(spark, monkeypatch):
+    """The spans that are sent out are those of every point, and either join keeps the same."""
+    rng = random.Random(23)
+    points, others = (spark.createDataFrame([(rng.randint(-300, 300),) for _ in range(60)], "ts long") for _ in range(2))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for window in (0, 1, 4, 9):
+        for side in (pruning.LEFT, pruning.RIGHT, pruning.MIDDLE):
+            spans = pruning.islands(pruning.covered(points, window, side), 3 * window)
+            assert rows(spans) == rows(pruning.islands(pruning.intervals(points, window, side), 2 * window))
+            assert pruning.covered(points, window, side).filter(f"hi - lo > {3 * window}").count() == 0
+        assert rows(pruning.keep_spans(spans, others, 2 * window, few=True)) == rows(pruning.keep_spans(spans, others, 2 * window))
+        assert rows(pruning.keep_points(others, spans, 2 * window, few=True)) == rows(pruning.keep_points(others, spans, 2 * window))
+    events = [(rng.choice("ABCN"), rng.randint(0, 9), 0, 0.0, 0.0, rng.randint(0, 400)) for _ in range(120)]
+    text = "PATTERN SEQ(A a, KS(N n), C c) FROM t USING SKIP_TILL_NEXT_MATCH WHERE a.a1 <= 4 WITHIN 9 units RETURN tuples"
+    for prefilter in ("buckets", "intervals"):
+        found = []
+        for most in (pruning.MOST_BROADCAST, 1):
+            monkeypatch.setattr(pruning, "MOST_BROADCAST", most)
+            found.append(rows(small(spark, events, prefilter=prefilter).match(text)))
+        assert found[0] and found[0] == found[1] == rows(small(spark, events).match(text))
+
+
 def test_counts_form_no_matches(spark):
     """Counts by sums: those of the matches themselves with ties, repeated types and either order, and no join."""
     rng = random.Random(3)
