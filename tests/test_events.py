@@ -388,6 +388,21 @@ def test_pruning_shuffles_no_events(spark, name):
     assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in final), final
 
 
+def test_matches_of_few_events_keep_all_partitions(spark):
+    """Under ANY the joins of a longer path run in every shuffle partition, however few events these hold, without a further shuffle."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        with sort_merge(spark):
+            df = queries.QUERIES["seq3_any"](spark, SF)
+            tasks = df.rdd.getNumPartitions()
+            df.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert tasks == 7 and "AQEShuffleRead coalesced" not in final and final.count("Exchange hashpartitioning(_of#") == 3, final
+
+
 def test_pruning_by_either_join(spark, monkeypatch):
     """The spans that are sent out are those of every point, and either join keeps the same."""
     rng = random.Random(23)
