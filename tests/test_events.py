@@ -447,3 +447,33 @@ def test_subtraction_forms_no_longer_matches(spark):
         rows = lambda df: sorted(map(str, df.select(*sorted(c for c in df.columns if c.endswith("__seq"))).collect()))
         assert rows(e.subtract(short, longer, "n")) == rows(matching.subtract(e.match(short), e.match(longer), "n")), longer
     assert queries.QUERIES["neg_subtract"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_listed_matches_equal_joined_ones(spark, monkeypatch, seed):
+    """Variables that no comparison ties, last, between and beside tied ones, with ties of time, one type for several variables,
+    a missing number or time, lists of three events and any number of buckets: the rows of the joins."""
+    rng = random.Random(seed)
+    rows = [(i if i % 17 else None, rng.choice(("A", "B", "B", None)), rng.randint(0, 9), rng.choice((None, 1, 2, rng.randint(-15, 25)))) for i in range(70)]
+    df = spark.createDataFrame(rows, "seq long, type string, a1 int, time long")
+    monkeypatch.setattr(matching, "LIST", 3)
+    for shape, where in (("SEQ(A a, B b, B c)", "a.a1 <= 6"), ("SEQ(A a, AND(B b, A c), B d)", "d.a1 >= a.a1 AND b.a1 >= 3"), ("SEQ(B a, B b, A c, B d)", "b.a1 >= a.a1"), ("SEQ(A a, B b, B c)", "c.a1 >= b.a1")):
+        text = f"PATTERN {shape} FROM t USING SKIP_TILL_ANY_MATCH WHERE {where} WITHIN {rng.choice((0, 3, 8))} units RETURN tuples"
+        for how in rng.sample(({}, {"splits": 3}, {"prefilter": "buckets"}), 1):
+            found = []
+            for free in (matching.Matcher._free, lambda self, path: []):
+                with monkeypatch.context() as m:
+                    m.setattr(matching.Matcher, "_free", free)
+                    e = Engine(spark, **how)
+                    e.register("t", df, "type", "time", "seq")
+                    found.append(sorted(map(str, e.match(text).collect())))
+            assert found[0] == found[1], (text, how)
+
+
+@pytest.mark.parametrize("name", ["seq3_any", "and_of_seq", "nested_p3", "bucket_prefilter", "interval_prefilter"])
+def test_last_free_variable_rejects_no_event(spark, name):
+    """The join that makes a match meets lists, not events; so it offers no event of a bucket that the match cannot hold."""
+    with sort_merge(spark):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.split("Join Inner")[0]
+    assert "Generate explode" in last and "sequence(" in last and "Sort" not in last and "Window" not in last
